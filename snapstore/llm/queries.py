@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_rank, quality_rules
+from . import best_fit, bpe_rank, quality_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,8 @@ ORACLE["op1_quality_rules"] = quality_rules.oracle_sql()
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = bpe_rank.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded=True)
     return d.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"))
