@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_rank, line_dedup, quality_rules
+from . import best_fit, bpe_rank, line_dedup, quality_rules, sharding
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op4_line_dedup"] = line_dedup.oracle_sql()
+
+
+@query
+def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sharding.shard(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
