@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that separates words, as SQL character-class text and as characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -61,3 +62,22 @@ def shuffle_parts(spark: SparkSession, least: int = 1) -> int:
 def text_columns(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The two columns that the operators work on, under their usual names; others stay out."""
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+
+
+def remainder(doc_id, modulus: int):
+    """crc32 of the id as text, modulo ``modulus`` (null for a null id)."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % modulus
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn, limit: int, name: str) -> DataFrame:
+    """(doc_id, text, y) of at most about ``limit`` labelled documents, written and reread.
+
+    ``learn`` is the condition on doc_id that keeps held-out rows away. Rows are chosen by
+    a hash of their id, so the choice does not depend on how the tables lie on disk.
+    Rows of one id count once: the largest label, the least text.
+    """
+    y = labels.where(f"{label} IS NOT NULL AND doc_id IS NOT NULL").where(learn).groupBy("doc_id").agg((F.max(label) > 0).cast("int").alias("y"))
+    n = y.count()
+    kept = y.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, limit / max(n, 1))))
+    texts = text_columns(docs).join(F.broadcast(kept), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # at most about ``limit`` ids of 16 bytes
+    return materialise(texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"), name)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_rank, line_dedup, quality_rules, sharding
-from .common import table
+from . import best_fit, bpe_rank, line_dedup, quality_rules, sharding, toxicity
+from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,11 @@ ORACLE["op4_line_dedup"] = line_dedup.oracle_sql()
 def op7_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = sharding.shard(table(spark, sf_dir, "documents"))
     return d.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(remainder(F.col("doc_id"), toxicity.HELD_OUT_MOD) == toxicity.HELD_OUT, F.lit(False))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
