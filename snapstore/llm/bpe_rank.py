@@ -36,7 +36,7 @@ SHORT, LONG = (8, 12, 16, 24, 40), 40
 WIDTH = [next(w for w in SHORT if n <= w) for n in range(LONG + 1)]
 #: White space as the pattern means it.
 BLANK = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMO = 300_000
+MEMO = 1_000_000
 CHUNK = 4 << 20
 NONE = np.int32(2**31 - 1)
 
@@ -81,18 +81,43 @@ class RankBpe:
         self.first = np.array([self.vocab[c] for c in alphabet], np.int32)
         self.last = np.array([self.vocab[c + end] for c in alphabet], np.int32)
         pairs = np.array([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in model["merges"]], np.int64)
-        keys = pairs[:, 0] << 32 | pairs[:, 1]
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.into = keys[order], order.astype(np.int32), pairs[order, 2].astype(np.int32)
+        self.fill_table(pairs)
         self.by_rank = np.append(pairs[:, 2].astype(np.int32), np.int32(-1))
         self.ranks = {(int(a), int(b)): k for k, (a, b, _) in enumerate(pairs)}
         self.memo: dict[bytes, bytes] = {}
 
+    def fill_table(self, pairs: np.ndarray) -> None:
+        """An open-addressing table of rank by pair, and a dense one for pairs of bytes."""
+        keys = (pairs[:, 0] << 32 | pairs[:, 1]).tolist()
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.slot_rank = np.full(1 << self.bits, NONE, np.int32)
+        for rank, (key, at) in enumerate(zip(keys, self.home(np.array(keys, np.int64)).tolist(), strict=True)):
+            while self.slots[at] != -1:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.slots[at], self.slot_rank[at] = key, rank
+        inner = self.rank_of(np.repeat(self.first, 256), np.tile(self.first, 256))
+        final = self.rank_of(np.repeat(self.first, 256), np.tile(self.last, 256))
+        self.byte_rank = np.stack([inner.reshape(256, 256), final.reshape(256, 256)])
+
+    def home(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key * np.int64(-7046029254386353131)).view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the merges of these pairs, NONE where there is none or where a part is missing (-1)."""
         key = left.astype(np.int64) << 32 | right.astype(np.int64) & 0xFFFFFFFF
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank[at], NONE)
+        at = self.home(key)
+        found = self.slots[at]
+        out = np.where(found == key, self.slot_rank[at], NONE)
+        open_ = np.flatnonzero((found != key) & (found != -1))
+        while len(open_):  # the next slots, for the few that met another pair
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            found = self.slots[at[open_]]
+            hit = found == key[open_]
+            out[open_[hit]] = self.slot_rank[at[open_[hit]]]
+            open_ = open_[~hit & (found != -1)]
+        return out
 
     def merge_short(self, words: list[bytes], width: int) -> list[bytes]:
         """Ids of words of 1 to ``width`` bytes, all rows of one contiguous array at once."""
@@ -102,7 +127,9 @@ class RankBpe:
         column = np.arange(width)
         parts = np.where(column < length[:, None] - 1, self.first[flat], np.where(column == length[:, None] - 1, self.last[flat], np.int32(-1)))
         parts = np.concatenate([parts, np.full((n, 1), -1, np.int32)], axis=1)
-        ranks = self.rank_of(parts[:, :-1].ravel(), parts[:, 1:].ravel()).reshape(n, width)
+        ranks = np.full((n, width), NONE, np.int32)
+        final = (column[: width - 1] == length[:, None] - 2).astype(np.int64)
+        ranks[:, :-1] = np.where(column[: width - 1] < length[:, None] - 1, self.byte_rank[final, flat[:, :-1], flat[:, 1:]], NONE)
         live = np.arange(n)
         done = parts.copy()
         while len(live):
