@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_rank, line_crf, line_dedup, quality_rules, sharding, toxicity
+from . import best_fit, bpe_rank, jaccard_forest, line_crf, line_dedup, quality_rules, sharding, toxicity
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = line_crf.train(docs, table(spark, sf_dir, "labels"))
     held_out = F.coalesce(remainder(F.col("doc_id"), line_crf.HELD_OUT_MOD) == line_crf.HELD_OUT, F.lit(False))
     return line_crf.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_forest.classes(table(spark, sf_dir, "documents"))
