@@ -7,13 +7,15 @@ many partitions as it fills. Texts match at the depth of their common prefix. Pr
 start at full depth and are shortened until a pair at the similarity threshold is matched
 in some tree with the target recall, which gives the shallowest depth (``min_depth``).
 
-A run of equal prefixes gives no pairs of all its members: each is paired with the run's
-least text at every depth, and with the text before it. Candidate pairs are verified on
-whole sets of 64-bit shingle hashes, in two rounds. First each text is verified against
-the least of its partners; then all candidate pairs whose ends are still in different
-classes. So a group of g near copies costs some g verifications, and no candidate pair is
-left out that could join two classes. Verification streams the partners of a text past
-it, in blocks of bounded total size, however many partners it has.
+All pairs of a small run of equal prefixes are candidates; in a run of more than NEAR + 1
+texts each is paired with the run's least text at every depth and with the NEAR texts
+before it. Candidates are verified on whole sets of 64-bit shingle hashes, in rounds: each
+text against the least of its partners, then all candidate pairs whose ends are still in
+different classes, last the texts of large runs that are outside the run's main class
+against all members of other classes. So g near copies of one text cost some g
+verifications and not g * g, and yet no two texts that meet in a run stay apart unless
+they were compared. Verification streams the partners of a text past it, in blocks of
+bounded total size, however many partners it has.
 
 Classes are the connected components of the links, found by minimum labels with pointer
 jumping over written tables; nothing that grows with the documents goes to the driver.
@@ -41,6 +43,8 @@ from .common import materialise, shuffle_parts, text_columns
 SHINGLE = 5
 BLOCK_SHINGLES = 500_000
 TREE_ROWS = 400_000
+NEAR = 16
+PAIR, HEAD, TAIL, MEMBER = range(4)
 
 
 def min_depth(threshold: float, trees: int, recall: float, deepest: int) -> int:
@@ -105,8 +109,12 @@ def signed_texts(docs: DataFrame, values: int) -> DataFrame:
     return src.mapInArrow(run, "doc_id long, h1 long, h2 long, n_shingles long, sig binary")
 
 
-def candidates(texts: DataFrame, trees: int, deepest: int, depth: int) -> DataFrame:
-    """Distinct pairs (a < b) of texts that share a prefix of ``depth`` values in some tree."""
+def candidates(texts: DataFrame, trees: int, deepest: int, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a < b) of texts that share a prefix of ``depth`` values in some tree, and large runs.
+
+    All pairs of a run of up to NEAR + 1 texts; of a larger one each text's pairs with the
+    least texts and with the NEAR before it, and the run's members (tree, label, tid).
+    """
     import pyarrow as pa
 
     width = 4 * deepest
@@ -133,27 +141,37 @@ def candidates(texts: DataFrame, trees: int, deepest: int, depth: int) -> DataFr
         for d in range(depth, deepest + 1):
             start = np.flatnonzero(shared < d)
             least = np.repeat(np.minimum.reduceat(tid, start), np.diff([*start, len(tid)]))
-            pairs.append(np.stack([least, tid], axis=1)[least != tid])
+            pairs.append(np.stack([least, tid], axis=1))
             if d == depth:
                 ends = int(least[0]), int(least[-1])
-        joined = np.flatnonzero(shared >= depth)
-        pairs.append(np.sort(np.stack([tid[joined - 1], tid[joined]], axis=1), axis=1))
+        run_of = np.cumsum(shared < depth) - 1
+        for w in range(1, NEAR + 1):
+            at = np.flatnonzero(run_of[w:] == run_of[:-w])
+            pairs.append(np.sort(np.stack([tid[at], tid[at + w]], axis=1), axis=1))
         found = np.unique(np.concatenate(pairs), axis=0)
         found = found[found[:, 0] != found[:, 1]]
-        p = TaskContext.get().partitionId()
-        names = ["a", "b", "part", "tree", "label"]
-        n = len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-        edge = label[[0, -1], :depth]
-        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.nulls(2, pa.int64()), pa.array([p - 1, p], pa.int32()), pa.array([-1 - int(tree[0]), int(tree[-1])], pa.int32()), pa.array([e.tobytes() for e in edge], pa.binary())], names=names)
-
-    found = materialise(ordered.mapInArrow(run, "a long, b long, part int, tree int, label binary"), "candidates")
+        size = np.bincount(run_of)
+        size[[0, -1]] = len(tid)  # runs that may go on in another partition count as large
+        large = np.flatnonzero(size[run_of] > NEAR + 1)
+        prefix = np.ascontiguousarray(label[:, :depth]).view(f"V{4 * depth}").ravel()
+        part = TaskContext.get().partitionId()
+
+        def batch(kind, a, b, tree, label, part):
+            n = len(a)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b), pa.array(part, pa.int32()), pa.array(tree, pa.int32()), pa.array(label, pa.binary())], names=["kind", "a", "b", "part", "tree", "label"])
+
+        yield batch(PAIR, found[:, 0], found[:, 1], [None] * len(found), [None] * len(found), [None] * len(found))
+        yield batch(MEMBER, tid[large], None, tree[large], [x.tobytes() for x in prefix[large]], [part] * len(large))
+        yield batch(HEAD, ends[:1], None, tree[:1], [prefix[0].tobytes()], [part - 1])
+        yield batch(TAIL, ends[1:], None, tree[-1:], [prefix[-1].tobytes()], [part])
+
+    found = materialise(ordered.mapInArrow(run, "kind int, a long, b long, part int, tree int, label binary"), "candidates")
     # a run that a partition boundary cuts goes on in the next: two rows per partition tell
-    edges = found.where("part IS NOT NULL")
-    heads = edges.where("tree < 0").select("part", (-1 - F.col("tree")).alias("tree"), "label", F.col("a").alias("head"))
-    tails = edges.where("tree >= 0").select("part", "tree", "label", F.col("a").alias("tail"))
+    heads = found.where(F.col("kind") == HEAD).select("part", "tree", "label", F.col("a").alias("head"))
+    tails = found.where(F.col("kind") == TAIL).select("part", "tree", "label", F.col("a").alias("tail"))
     over = heads.join(F.broadcast(tails), ["part", "tree", "label"]).where("head != tail").select(F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b"))
-    return materialise(found.where("part IS NULL").select("a", "b").unionByName(over).distinct(), "candidate-pairs")
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b").unionByName(over).distinct()
+    return materialise(pairs, "candidate-pairs"), found.where(F.col("kind") == MEMBER).select("tree", "label", F.col("a").alias("tid"))
 
 
 def shingle_sets(docs: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -226,6 +244,37 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def in_class(tids: DataFrame, of_class: DataFrame, tid: str, name: str) -> DataFrame:
+    """``tids`` with the class of the text in column ``tid``: its own id where it has no links."""
+    return tids.join(of_class.select(F.col("tid").alias(tid), F.col("class").alias(name)), tid, "left").withColumn(name, F.coalesce(name, tid))
+
+
+def apart(pairs: DataFrame, of_class: DataFrame) -> DataFrame:
+    both = in_class(in_class(pairs, of_class, "a", "ca"), of_class, "b", "cb")
+    return materialise(both.where("ca != cb").select("a", "b"), "pairs-apart")
+
+
+def stragglers(large: DataFrame, of_class: DataFrame) -> DataFrame:
+    """Of large runs, the pairs of each text outside the run's largest class with all of other classes."""
+    run = ["tree", "label"]
+    members = materialise(in_class(large, of_class, "tid", "class"), "run-members")
+    sizes = members.groupBy(*run, "class").agg(F.count("*").alias("n"))
+    main = sizes.groupBy(*run).agg(F.max(F.struct("n", F.col("class").alias("main"))).alias("m"), F.count("*").alias("many")).where("many > 1").select(*run, "m.main")
+    mixed = members.join(main, run)
+    outside = mixed.where("class != main").select(*run, F.col("tid").alias("o"), F.col("class").alias("co"))
+    met = outside.join(mixed.select(*run, "tid", "class"), run).where("co != class")
+    return met.select(F.least("o", "tid").alias("a"), F.greatest("o", "tid").alias("b")).distinct()
+
+
+def merge(of_class: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after these links, as (tid, class) of texts that are in a class with others."""
+    ends = in_class(in_class(links, of_class, "a", "ca"), of_class, "b", "cb")
+    tops = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()).select(F.col("tid").alias("class"), F.col("root").alias("top"))
+    moved = of_class.join(tops, "class", "left").select("tid", F.coalesce("top", "class").alias("class"))
+    new = tops.join(of_class.select(F.col("tid").alias("class")), "class", "left_anti").select(F.col("class").alias("tid"), F.col("top").alias("class"))
+    return materialise(moved.unionByName(new), "classes")
+
+
 def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 25, deepest: int = 8, recall: float = 0.999) -> DataFrame:
     """(doc_id, class_id, n_links) of every row; ``class_id`` is the least doc_id of the class."""
     depth = min_depth(threshold, trees, recall, deepest)
@@ -234,22 +283,16 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 25, deepest: i
     texts = signed.withColumnRenamed("doc_id", "rep").join(groups, ["rep", "h1", "h2"]).dropDuplicates(["h1", "h2"])
     texts = materialise(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
-    pairs = candidates(texts, trees, deepest, depth)
+    pairs, large = candidates(texts, trees, deepest, depth)
     sets = shingle_sets(docs, texts, pairs)
     first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, threshold)
-    roots = materialise(components(first), "roots")
-    left = roots.select(F.col("tid").alias("a"), F.col("root").alias("ra"))
-    right = roots.select(F.col("tid").alias("b"), F.col("root").alias("rb"))
-    apart = pairs.join(left, "a", "left").join(right, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")}).where("ra != rb")
-    apart = materialise(apart, "pairs-apart")
-    second = verified(apart.select("a", "b"), sets, threshold)
-    merged = second.join(apart, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
-    tops = components(merged).select(F.col("tid").alias("root"), F.col("root").alias("top"))
-    links = first.unionByName(second)
-
-    linked = roots.join(tops, "root", "left").select("tid", F.coalesce("top", "root").alias("class"))
-    alone = tops.join(roots.select(F.col("tid").alias("root")), "root", "left_anti").select(F.col("root").alias("tid"), F.col("top").alias("class"))
-    of_class = materialise(linked.unionByName(alone), "classes")
+    of_class = materialise(components(first).withColumnRenamed("root", "class"), "classes")
+    second = verified(apart(pairs, of_class), sets, threshold)
+    of_class = merge(of_class, second)
+    third = verified(apart(stragglers(large, of_class), of_class), sets, threshold)
+    of_class = merge(of_class, third)
+    links = first.unionByName(second).unionByName(third)
+
     copies = texts.select(F.col("tid").alias("o"), "copies")
     ends = links.select(F.col("a").alias("tid"), F.col("b").alias("o")).union(links.select("b", "a"))
     degree = ends.join(copies, "o").groupBy("tid").agg(F.sum("copies").alias("others"))
