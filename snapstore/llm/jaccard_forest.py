@@ -21,8 +21,7 @@ Classes are the connected components of the links, found by minimum labels with
 jumping over written tables; nothing that grows with the documents goes to the driver.
 
 Defined results: words are split at white space; a text of fewer than five words has one
-shingle, all of them; a null or word-less text links to nothing, not even its like, and is
-a class of its own; a row without doc_id takes no part and has a null class; repeated rows are
+shingle, all of them; texts without words, null ones among them, are copies of each other; a row without doc_id takes no part and has a null class; repeated rows are
 copies; rows of one id with different texts each have their own text's class; other
 columns stay out; an empty table gives no rows. ``n_links`` counts other rows: the copies
 of the text, and those of each other text that a verified link ties to it.
@@ -85,11 +84,11 @@ def signature(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def signed_texts(docs: DataFrame, values: int) -> DataFrame:
-    """(doc_id, h1, h2, n_shingles, sig) of the rows with words; ``sig`` big-endian, ``values`` of 4 bytes."""
+    """(doc_id, h1, h2, n_shingles, sig) of the rows with an id; ``sig`` big-endian, ``values`` of 4 bytes."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    src = text_columns(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.col("text").cast("binary").alias("text"))
+    src = text_columns(docs).where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     factors = np.random.default_rng(20).integers(0, 1 << 63, values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,9 +99,8 @@ def signed_texts(docs: DataFrame, values: int) -> DataFrame:
                 rows = []
                 for doc_id, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
                     s, whole = shingles(text)
-                    if len(s):
-                        h = np.frombuffer(xxh3_128_digest(whole), np.int64)
-                        rows.append((doc_id, int(h[0]), int(h[1]), len(s), signature(s, factors).astype(">u4").tobytes()))
+                    h = np.frombuffer(xxh3_128_digest(whole), np.int64)
+                    rows.append((doc_id, int(h[0]), int(h[1]), len(s), signature(s, factors).astype(">u4").tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "h1", "h2", "n_shingles", "sig"])
 
@@ -301,8 +299,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 25, deepest: i
     ids = found.groupBy("class").agg(F.min("rep").alias("class_id"))
     found = found.join(ids, "class").select("h1", "h2", "class_id", (F.col("others") + F.col("copies") - 1).alias("n_links"))
     rows = signed.select("doc_id", "h1", "h2").join(found, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
-    wordless = text_columns(docs).where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) | F.col("doc_id").isNull())
-    return rows.unionByName(wordless.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    nameless = text_columns(docs).where("doc_id IS NULL")
+    return rows.unionByName(nameless.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
