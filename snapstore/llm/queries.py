@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_rank, jaccard_forest, line_crf, line_dedup, quality_rules, sharding, toxicity
+from . import best_fit, bpe_rank, jaccard_forest, line_crf, line_dedup, lm_trie, quality_rules, sharding, toxicity
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,12 @@ def op9_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_forest.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    trie = lm_trie.build(docs.where(~held_out))
+    d = lm_trie.score(docs, trie)
+    return d.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(trie.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
