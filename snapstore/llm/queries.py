@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, bpe_rank, jaccard_forest, line_crf, line_dedup, lm_trie, quality_rules, sharding, toxicity
+from . import ann_partitions, best_fit, bpe_rank, jaccard_forest, line_crf, line_dedup, lm_trie, quality_rules, sharding, toxicity
 from .common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op8_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     trie = lm_trie.build(docs.where(~held_out))
     d = lm_trie.score(docs, trie)
     return d.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(trie.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query
+def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann_partitions.nearest(rows, rows.where("vec_id % 20 = 0"))
