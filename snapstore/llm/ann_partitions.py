@@ -154,7 +154,7 @@ def train(x: np.ndarray, parts: int, recall: float, k: int = 20, seed: int = 5)
     return router
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", recall: float = 0.97, sample: int = SAMPLE) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", recall: float = 0.95, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each id of ``queries`` (column vec_id) its k nearest found."""
     import pandas as pd
     import pyarrow as pa

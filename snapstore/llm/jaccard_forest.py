@@ -9,10 +9,10 @@ in some tree with the target recall, which gives the shallowest depth (``min_dep
 
 All pairs of a small run of equal prefixes are candidates; in a run of more than NEAR + 1
 texts each is paired with the run's least text at every depth and with the NEAR texts
-before it. Candidates are verified on whole sets of 64-bit shingle hashes, in rounds: each
-text against the least of its partners, then all candidate pairs whose ends are still in
-different classes, last the texts of large runs that are outside the run's main class
-against all members of other classes. So g near copies of one text cost some g
+before it. Candidates are verified on whole sets of 64-bit shingle hashes, in rounds: ROUNDS
+times each text against the partner in another class that it met most often; then all
+candidate pairs whose ends are still in different classes, and the texts of large runs
+that are outside the run's main class against all its members of other classes. So g near copies of one text cost some g
 verifications and not g * g, and yet no two texts that meet in a run stay apart unless
 they were compared. Verification streams the partners of a text past it, in blocks of
 bounded total size, however many partners it has.
@@ -43,6 +43,7 @@ SHINGLE = 5
 BLOCK_SHINGLES = 500_000
 TREE_ROWS = 400_000
 NEAR = 16
+ROUNDS = 4
 PAIR, HEAD, TAIL, MEMBER = range(4)
 
 
@@ -75,16 +76,16 @@ def shingles(text: bytes) -> tuple[np.ndarray, bytes]:
 
 
 def signature(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """The least value of each hash function over the set (32 bits each)."""
+    """The low 16 bits of the least value of each hash function over the set."""
     out = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     for k in range(0, len(s), 2048):
         block = (s[k : k + 2048, None] * factors[None, :]) >> np.uint64(32)
         np.minimum(out, block.min(axis=0).astype(np.uint32), out=out)
-    return out
+    return (out & 0xFFFF).astype(">u2")
 
 
 def signed_texts(docs: DataFrame, values: int) -> DataFrame:
-    """(doc_id, h1, h2, n_shingles, sig) of the rows with an id; ``sig`` big-endian, ``values`` of 4 bytes."""
+    """(doc_id, h1, h2, n_shingles, sig) of the rows with an id; ``sig`` big-endian, ``values`` of 2 bytes."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
@@ -100,7 +101,7 @@ def signed_texts(docs: DataFrame, values: int) -> DataFrame:
                 for doc_id, text in zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a).to_pylist(), strict=True):
                     s, whole = shingles(text)
                     h = np.frombuffer(xxh3_128_digest(whole), np.int64)
-                    rows.append((doc_id, int(h[0]), int(h[1]), len(s), signature(s, factors).astype(">u4").tobytes()))
+                    rows.append((doc_id, int(h[0]), int(h[1]), len(s), signature(s, factors).tobytes()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "h1", "h2", "n_shingles", "sig"])
 
@@ -115,7 +116,7 @@ def candidates(texts: DataFrame, trees: int, deepest: int, depth: int) -> tuple[
     """
     import pyarrow as pa
 
-    width = 4 * deepest
+    width = 2 * deepest
     labels = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.cast("int").alias("tree"), F.substring("sig", t * width + 1, F.lit(width)).alias("label"))))
     rows = texts.select(labels.alias("x"), "tid").select("x.tree", "x.label", "tid")
     spark = texts.sparkSession
@@ -130,7 +131,7 @@ def candidates(texts: DataFrame, trees: int, deepest: int, depth: int) -> tuple[
         if not read:
             return
         tree = np.concatenate([b.column(0).to_numpy() for b in read])
-        label = np.frombuffer(b"".join(b"".join(b.column(1).to_pylist()) for b in read), ">u4").reshape(-1, deepest)
+        label = np.frombuffer(b"".join(b"".join(b.column(1).to_pylist()) for b in read), ">u2").reshape(-1, deepest)
         tid = np.concatenate([b.column(2).to_numpy() for b in read])
         same = np.zeros((len(tid), deepest), bool)
         same[1:] = (label[1:] == label[:-1]) & (tree[1:] == tree[:-1])[:, None]
@@ -146,19 +147,19 @@ def candidates(texts: DataFrame, trees: int, deepest: int, depth: int) -> tuple[
         for w in range(1, NEAR + 1):
             at = np.flatnonzero(run_of[w:] == run_of[:-w])
             pairs.append(np.sort(np.stack([tid[at], tid[at + w]], axis=1), axis=1))
-        found = np.unique(np.concatenate(pairs), axis=0)
-        found = found[found[:, 0] != found[:, 1]]
+        found = np.concatenate(pairs)
+        found, often = np.unique(found[found[:, 0] != found[:, 1]], axis=0, return_counts=True)
         size = np.bincount(run_of)
         size[[0, -1]] = len(tid)  # runs that may go on in another partition count as large
         large = np.flatnonzero(size[run_of] > NEAR + 1)
-        prefix = np.ascontiguousarray(label[:, :depth]).view(f"V{4 * depth}").ravel()
+        prefix = np.ascontiguousarray(label[:, :depth]).view(f"V{2 * depth}").ravel()
         part = TaskContext.get().partitionId()
 
         def batch(kind, a, b, tree, label, part):
             n = len(a)
             return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b), pa.array(part, pa.int32()), pa.array(tree, pa.int32()), pa.array(label, pa.binary())], names=["kind", "a", "b", "part", "tree", "label"])
 
-        yield batch(PAIR, found[:, 0], found[:, 1], [None] * len(found), [None] * len(found), [None] * len(found))
+        yield batch(PAIR, found[:, 0], found[:, 1], [None] * len(found), [None] * len(found), often.astype(np.int32))
         yield batch(MEMBER, tid[large], None, tree[large], [x.tobytes() for x in prefix[large]], [part] * len(large))
         yield batch(HEAD, ends[:1], None, tree[:1], [prefix[0].tobytes()], [part - 1])
         yield batch(TAIL, ends[1:], None, tree[-1:], [prefix[-1].tobytes()], [part])
@@ -167,8 +168,8 @@ def candidates(texts: DataFrame, trees: int, deepest: int, depth: int) -> tuple[
     # a run that a partition boundary cuts goes on in the next: two rows per partition tell
     heads = found.where(F.col("kind") == HEAD).select("part", "tree", "label", F.col("a").alias("head"))
     tails = found.where(F.col("kind") == TAIL).select("part", "tree", "label", F.col("a").alias("tail"))
-    over = heads.join(F.broadcast(tails), ["part", "tree", "label"]).where("head != tail").select(F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b"))
-    pairs = found.where(F.col("kind") == PAIR).select("a", "b").unionByName(over).distinct()
+    over = heads.join(F.broadcast(tails), ["part", "tree", "label"]).where("head != tail").select(F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b"), F.lit(1).alias("part"))
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b", "part").unionByName(over).groupBy("a", "b").agg(F.sum("part").alias("often"))
     return materialise(pairs, "candidate-pairs"), found.where(F.col("kind") == MEMBER).select("tree", "label", F.col("a").alias("tid"))
 
 
@@ -248,8 +249,19 @@ def in_class(tids: DataFrame, of_class: DataFrame, tid: str, name: str) -> DataF
 
 
 def apart(pairs: DataFrame, of_class: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different classes."""
     both = in_class(in_class(pairs, of_class, "a", "ca"), of_class, "b", "cb")
-    return materialise(both.where("ca != cb").select("a", "b"), "pairs-apart")
+    return materialise(both.where("ca != cb").select(pairs.columns), "pairs-apart")
+
+
+def best_partners(pairs: DataFrame) -> DataFrame:
+    """For each text the pair that met most often in the tries."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("t"), F.struct("often", "b", "a").alias("p"))
+    return ends.groupBy("t").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+
+
+def spark_empty(docs: DataFrame, schema: str) -> DataFrame:
+    return docs.sparkSession.createDataFrame([], schema)
 
 
 def stragglers(large: DataFrame, of_class: DataFrame) -> DataFrame:
@@ -273,23 +285,27 @@ def merge(of_class: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(moved.unionByName(new), "classes")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 25, deepest: int = 8, recall: float = 0.999) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 25, deepest: int = 7, recall: float = 0.999) -> DataFrame:
     """(doc_id, class_id, n_links) of every row; ``class_id`` is the least doc_id of the class."""
     depth = min_depth(threshold, trees, recall, deepest)
     signed = materialise(signed_texts(docs, trees * deepest), "signed")
-    groups = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    texts = signed.withColumnRenamed("doc_id", "rep").join(groups, ["rep", "h1", "h2"]).dropDuplicates(["h1", "h2"])
+    texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))  # alike in all copies
     texts = materialise(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
-    pairs, large = candidates(texts, trees, deepest, depth)
-    sets = shingle_sets(docs, texts, pairs)
-    first = verified(pairs.groupBy("b").agg(F.min("a").alias("a")), sets, threshold)
-    of_class = materialise(components(first).withColumnRenamed("root", "class"), "classes")
-    second = verified(apart(pairs, of_class), sets, threshold)
-    of_class = merge(of_class, second)
-    third = verified(apart(stragglers(large, of_class), of_class), sets, threshold)
-    of_class = merge(of_class, third)
-    links = first.unionByName(second).unionByName(third)
+    todo, large = candidates(texts, trees, deepest, depth)
+    sets = shingle_sets(docs, texts, todo)
+    of_class = spark_empty(docs, "tid long, class long")
+    links = spark_empty(docs, "a long, b long")
+    for _ in range(ROUNDS):
+        picked = materialise(best_partners(todo), "picked-pairs")
+        found = verified(picked, sets, threshold)
+        links, of_class = links.unionByName(found), merge(of_class, found)
+        todo = apart(todo.join(picked, ["a", "b"], "left_anti"), of_class)
+        if todo.isEmpty():
+            break
+    rest = apart(todo.select("a", "b").unionByName(stragglers(large, of_class)).distinct(), of_class)
+    found = verified(rest.select("a", "b"), sets, threshold)
+    links, of_class = links.unionByName(found), merge(of_class, found)
 
     copies = texts.select(F.col("tid").alias("o"), "copies")
     ends = links.select(F.col("a").alias("tid"), F.col("b").alias("o")).union(links.select("b", "a"))
