@@ -9,13 +9,14 @@ in some tree with the target recall, which gives the shallowest depth (``min_dep
 
 All pairs of a small run of equal prefixes are candidates; in a run of more than NEAR + 1
 texts each is paired with the run's least text at every depth and with the NEAR texts
-before it. Candidates are verified on whole sets of 64-bit shingle hashes, in rounds: ROUNDS
-times each text against the partner in another class that it met most often; then all
-candidate pairs whose ends are still in different classes, and the texts of large runs
-that are outside the run's main class against all its members of other classes. So g near copies of one text cost some g
-verifications and not g * g, and yet no two texts that meet in a run stay apart unless
-they were compared. Verification streams the partners of a text past it, in blocks of
-bounded total size, however many partners it has.
+before it. Candidates are verified on whole sets of 64-bit shingle hashes, in rounds:
+ROUNDS times each text against the partner in another class that it met most often and, in
+large runs, the member with most links so far; then all candidate pairs whose ends are
+still in different classes. Verification streams the partners of a text past it, in blocks
+of bounded total size, however many partners it has. Texts of large runs that are then
+outside the run's main class meet all its members of other classes, in pairs of blocks
+that give out links only. So near copies that end in one class cost some verifications
+each, and yet no two texts that meet in a run stay apart unless they were compared.
 
 Classes are the connected components of the links, found by minimum labels with pointer
 jumping over written tables; nothing that grows with the documents goes to the driver.
@@ -42,7 +43,7 @@ from .common import materialise, shuffle_parts, text_columns
 SHINGLE = 5
 BLOCK_SHINGLES = 500_000
 TREE_ROWS = 400_000
-NEAR = 16
+NEAR = 4
 ROUNDS = 4
 PAIR, HEAD, TAIL, MEMBER = range(4)
 
@@ -260,20 +261,64 @@ def best_partners(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("t").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
 
 
+def hub_partners(large: DataFrame, links: DataFrame) -> DataFrame:
+    """Each member of a large run with the member that has most links so far."""
+    run = ["tree", "label"]
+    degree = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("n"))
+    ranked = large.join(degree, "tid")
+    hubs = ranked.groupBy(*run).agg(F.max(F.struct("n", F.col("tid").alias("hub"))).alias("h")).select(*run, "h.hub")
+    met = large.join(hubs, run).where("tid != hub")
+    return met.select(F.least("tid", "hub").alias("a"), F.greatest("tid", "hub").alias("b")).distinct()
+
+
 def spark_empty(docs: DataFrame, schema: str) -> DataFrame:
     return docs.sparkSession.createDataFrame([], schema)
 
 
-def stragglers(large: DataFrame, of_class: DataFrame) -> DataFrame:
-    """Of large runs, the pairs of each text outside the run's largest class with all of other classes."""
+def stragglers(large: DataFrame, of_class: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links of large runs' texts outside the run's largest class, with members of other classes.
+
+    Outsiders and members of a class's runs meet in pairs of blocks of bounded total size;
+    a block pair counts common shingles through one sorted list and gives out links only.
+    """
+    import pyarrow as pa
+
     run = ["tree", "label"]
     members = materialise(in_class(large, of_class, "tid", "class"), "run-members")
     sizes = members.groupBy(*run, "class").agg(F.count("*").alias("n"))
     main = sizes.groupBy(*run).agg(F.max(F.struct("n", F.col("class").alias("main"))).alias("m"), F.count("*").alias("many")).where("many > 1").select(*run, "m.main")
-    mixed = members.join(main, run)
-    outside = mixed.where("class != main").select(*run, F.col("tid").alias("o"), F.col("class").alias("co"))
-    met = outside.join(mixed.select(*run, "tid", "class"), run).where("co != class")
-    return met.select(F.least("o", "tid").alias("a"), F.greatest("o", "tid").alias("b")).distinct()
+    mixed = materialise(members.join(main, run).select("main", "tid", "class").distinct().join(sets, "tid"), "mixed-runs")
+    outside = F.col("class") != F.col("main")
+    block = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    blocks = mixed.groupBy("main").agg(block(F.sum("n_shingles")).alias("nm"), block(F.sum(F.when(outside, F.col("n_shingles")).otherwise(0))).alias("no"))
+    placed = mixed.join(blocks, "main")
+    own = lambda n: F.pmod(F.xxhash64("tid"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = placed.where(outside).select("main", own("no").alias("o"), every("nm").alias("m"), "tid", "class", "hashes")
+    right = placed.select(F.col("main").alias("main2"), own("nm").alias("m2"), every("no").alias("o2"), F.col("tid").alias("tid2"), F.col("class").alias("class2"), F.col("hashes").alias("hashes2"))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            sets_of = [np.frombuffer(h, "<u8") for h in right.column("hashes2").to_pylist()]
+            size = np.array([len(s) for s in sets_of])
+            owner = np.repeat(np.arange(len(sets_of)), size)
+            every_hash = np.concatenate(sets_of)
+            order = np.argsort(every_hash, kind="stable")
+            every_hash, owner = every_hash[order], owner[order]
+            tid, cls = right.column("tid2").to_numpy(), right.column("class2").to_numpy()
+            for t, c, packed in zip(left.column("tid").to_pylist(), left.column("class").to_pylist(), left.column("hashes").to_pylist(), strict=True):
+                s = np.frombuffer(packed, "<u8")
+                lo, hi = np.searchsorted(every_hash, s, side="left"), np.searchsorted(every_hash, s, side="right")
+                many = hi - lo
+                at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+                common = np.bincount(owner[at], minlength=len(size))
+                hit = np.flatnonzero((common >= threshold * (len(s) + size - common) - 1e-9) & (cls != c))
+                found += [(min(t, x), max(t, x)) for x in tid[hit].tolist()]
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    met = left.groupBy("main", "o", "m").cogroup(right.groupBy("main2", "o2", "m2"))
+    return materialise(met.applyInArrow(meet, "a long, b long").distinct(), "links")
 
 
 def merge(of_class: DataFrame, links: DataFrame) -> DataFrame:
@@ -296,16 +341,20 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 25, deepest: i
     sets = shingle_sets(docs, texts, todo)
     of_class = spark_empty(docs, "tid long, class long")
     links = spark_empty(docs, "a long, b long")
-    for _ in range(ROUNDS):
-        picked = materialise(best_partners(todo), "picked-pairs")
+    tried = links
+    for k in range(ROUNDS):
+        picked = best_partners(todo)
+        if k:  # by now it shows which texts of a large run have many links
+            hubs = apart(hub_partners(large, links), of_class)
+            picked = picked.unionByName(hubs).distinct().join(tried, ["a", "b"], "left_anti")
+        picked = materialise(picked, "picked-pairs")
         found = verified(picked, sets, threshold)
-        links, of_class = links.unionByName(found), merge(of_class, found)
+        tried, links, of_class = tried.unionByName(picked), links.unionByName(found), merge(of_class, found)
         todo = apart(todo.join(picked, ["a", "b"], "left_anti"), of_class)
-        if todo.isEmpty():
-            break
-    rest = apart(todo.select("a", "b").unionByName(stragglers(large, of_class)).distinct(), of_class)
-    found = verified(rest.select("a", "b"), sets, threshold)
+    found = verified(todo.select("a", "b"), sets, threshold)
     links, of_class = links.unionByName(found), merge(of_class, found)
+    found = stragglers(large, of_class, sets, threshold)
+    links, of_class = links.unionByName(found).distinct(), merge(of_class, found)
 
     copies = texts.select(F.col("tid").alias("o"), "copies")
     ends = links.select(F.col("a").alias("tid"), F.col("b").alias("o")).union(links.select("b", "a"))

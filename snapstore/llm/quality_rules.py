@@ -114,7 +114,8 @@ def apply_rules(docs: DataFrame, rules: QualityRules | None = None, text: str =
     either = ", ".join(_sql(w) for w in sorted({*common, *(w.capitalize() for w in common)}))
     space = _sql(f"[{SPACE_CLASS}]+")
     own = [c for c in docs.columns if c not in added]
-    d = docs.select(*(docs[c] for c in own), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_t"))
+    # the row's own columns travel in a struct, out of the way of the names used here
+    d = docs.select(F.struct(*(docs[c] for c in own)).alias("_own"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("_t"))
     d = d.withColumn("_trim", F.expr("trim(BOTH ' \\t\\n\\u000b\\u000c\\r' FROM _t)"))
     d = d.withColumn("_w", F.expr(f"if(_trim = '', array(), split(_trim, {space}))"))
     d = d.withColumns({
@@ -149,7 +150,7 @@ def apply_rules(docs: DataFrame, rules: QualityRules | None = None, text: str =
         "base_failed": F.expr(f"n_words < {r.base_min_words} OR 100 * n_repeat_words > {r.base_max_repeat_pct} * n_words"),
     })
     d = d.withColumn("kept", F.expr(f"NOT base_failed AND coalesce(class_distance <= {r.max_class_distance}, true) AND coalesce(word_distance <= {r.max_word_distance}, true)"))
-    return d.select(*own, *added)
+    return d.select("_own.*", *added)
 
 
 def oracle_sql(rules: QualityRules | None = None) -> str:
