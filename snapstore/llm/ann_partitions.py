@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 SAMPLE = 6_000
-PER_PART = 1_500
-MAX_PARTS = 256
-BASE_BLOCK, QUERY_BLOCK = 8_192, 2_048
+PARTS = 16
+BASE_BLOCK, QUERY_BLOCK = 65_536, 4_096
 
 
 def valid(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -154,8 +153,11 @@ def train(x: np.ndarray, parts: int, recall: float, k: int = 20, seed: int = 5)
     return router
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", recall: float = 0.95, sample: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each id of ``queries`` (column vec_id) its k nearest found."""
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", recall: float = 0.95, sample: int = SAMPLE, parts: int = PARTS) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each id of ``queries`` (column vec_id) its k nearest found.
+
+    ``parts``: how many partitions, a power of two; more suit vectors that lie in clusters.
+    """
     import pandas as pd
     import pyarrow as pa
 
@@ -168,7 +170,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec
     n = filed.count()
     kept = filed.where(F.pmod(F.xxhash64("k1", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(n, 1)))).select("k1", "k2", "v").toPandas().sort_values(["k1", "k2"])
     x = np.array(kept["v"].tolist()) if len(kept) else np.ones((1, 1))
-    parts = 1 << int(np.clip(np.log2(max(n / PER_PART, 1)), 0, np.log2(MAX_PARTS)))
     router = train(x, parts, recall, k)
     parts = len(router.b2)
 
