@@ -29,19 +29,26 @@ def query(sql: str):
 
 FIRST_ORDERS = f"SELECT * FROM ({ORDERS_SQL}) QUALIFY row_number() OVER (PARTITION BY pa, snapshot_id ORDER BY seq) = 1"
 FIRST_EVENTS = f"SELECT * FROM ({EVENTS_SQL}) QUALIFY row_number() OVER (PARTITION BY pa, snapshot_id ORDER BY seq) = 1"
-#: The fold over versions: per page and version in order, the base so far decides the kind.
-DIFF = "len(list_filter(range(512), lambda i: substr(v.h, i * 16 + 1, 16) <> substr(f.bh, i * 16 + 1, 16)))"
+#: A page's hex digits as its 512 words.
+CUT = "regexp_extract_all({}, '[0-9A-F]{{16}}')"
 
 
 def fold_sql(threshold: int) -> str:
-    delta = f"f.bh IS NOT NULL AND {DIFF} <= {threshold}"
-    is_zero = "v.h = repeat('0', 8192)"
-    return f"""WITH RECURSIVE v AS (SELECT *, row_number() OVER (PARTITION BY pa ORDER BY snapshot_id) n FROM ({VERSIONS_SQL})),
-f AS (SELECT pa, 0::BIGINT n, NULL::BIGINT snapshot_id, NULL::INT kind, NULL::BIGINT base_snapshot, NULL::BIGINT bs, NULL::VARCHAR bh, 0::BIGINT words FROM (SELECT DISTINCT pa FROM v)
-UNION ALL SELECT v.pa, v.n, v.snapshot_id, CASE WHEN {is_zero} THEN 2 WHEN {delta} THEN 1 ELSE 0 END, CASE WHEN NOT {is_zero} AND {delta} THEN f.bs END,
-  CASE WHEN NOT {is_zero} AND NOT ({delta}) THEN v.snapshot_id ELSE f.bs END, CASE WHEN NOT {is_zero} AND NOT ({delta}) THEN v.h ELSE f.bh END,
-  CASE WHEN NOT {is_zero} AND {delta} THEN {DIFF} ELSE 0 END FROM f JOIN v ON v.pa = f.pa AND v.n = f.n + 1)
-SELECT pa, snapshot_id, kind, base_snapshot, words FROM f WHERE n > 0"""
+    """The fold of a page's four possible versions, step by step: words that differ, then kinds and bases."""
+    snaps = (0, 10, 20, 30)
+    pairs = [(i, j) for j in range(4) for i in range(j)]
+    steps = ["s0 AS (SELECT *, CASE WHEN h0 IS NULL THEN NULL WHEN z0 THEN 2 ELSE 0 END k0, CASE WHEN NOT z0 THEN 0 END b0, NULL::INT x0, NULL::INT f0 FROM m)"]
+    for j in range(1, 4):
+        x = "CASE b" + str(j - 1) + "".join(f" WHEN {snaps[i]} THEN d{i}{j}" for i in range(j)) + " END"
+        steps.append(f"t{j} AS (SELECT *, {x} x{j} FROM s{j - 1})")
+        steps.append(f"u{j} AS (SELECT *, CASE WHEN h{j} IS NULL THEN NULL WHEN z{j} THEN 2 WHEN x{j} <= {threshold} THEN 1 ELSE 0 END k{j}, b{j - 1} f{j} FROM t{j})")
+        steps.append(f"s{j} AS (SELECT *, CASE WHEN k{j} = 0 THEN {snaps[j]} ELSE b{j - 1} END b{j} FROM u{j})")
+    out = " UNION ALL ".join(f"SELECT pa, {snaps[j]}::BIGINT snapshot_id, k{j} kind, CASE WHEN k{j} = 1 THEN f{j} END::BIGINT base_snapshot, CASE WHEN k{j} = 1 THEN x{j} ELSE 0 END::BIGINT words FROM s3 WHERE k{j} IS NOT NULL" for j in range(4))
+    return f"""WITH p AS MATERIALIZED (SELECT pa, {", ".join(f"max(h) FILTER (snapshot_id = {s}) h{j}" for j, s in enumerate(snaps))} FROM ({VERSIONS_SQL}) GROUP BY pa),
+w AS (SELECT pa, {", ".join(f"unnest({CUT.format(f'h{j}')}) w{j}" for j in range(4))} FROM p),
+d AS MATERIALIZED (SELECT pa, {", ".join(f"count(*) FILTER (w{i} <> w{j}) d{i}{j}" for i, j in pairs)} FROM w GROUP BY pa),
+m AS MATERIALIZED (SELECT p.*, d.* EXCLUDE (pa), {", ".join(f"h{j} = repeat('0', 8192) z{j}" for j in range(4))} FROM p JOIN d USING (pa)),
+{", ".join(steps)} {out}"""
 
 
 def chunk_rows(spark: SparkSession, sf_dir: str, threshold: int = 64) -> DataFrame:
@@ -165,16 +172,17 @@ def page_pairs(spark, sf_dir):
 
 
 PAIRS_SQL = f"(SELECT a.pa, a.h ha, b.h hb FROM ({VERSIONS_SQL}) a JOIN ({VERSIONS_SQL}) b ON a.pa = b.pa AND a.snapshot_id = 0 AND b.snapshot_id = 20)"
-SWAP = lambda h: "(" + " || ".join(f"substr({h}, i * 16 + {k}, 2)" for k in range(15, 0, -2)) + ")"
+PAIR_WORDS_SQL = f"(SELECT pa, unnest(range(512)) w, unnest({CUT.format('ha')}) wa, unnest({CUT.format('hb')}) wb FROM {PAIRS_SQL})"
+SWAP = lambda h: "(" + " || ".join(f"substr({h}, {k}, 2)" for k in range(15, 0, -2)) + ")"
 
 
-@query(f"SELECT pa, i w, xor(('0x' || {SWAP('ha')})::UBIGINT, ('0x' || {SWAP('hb')})::UBIGINT)::VARCHAR x FROM {PAIRS_SQL}, (SELECT unnest(range(512)) i) WHERE substr(ha, i * 16 + 1, 16) <> substr(hb, i * 16 + 1, 16)")
+@query(f"SELECT pa, w, xor(('0x' || {SWAP('wa')})::UBIGINT, ('0x' || {SWAP('wb')})::UBIGINT)::VARCHAR x FROM {PAIR_WORDS_SQL} WHERE wa <> wb")
 def xor_patch_words(spark, sf_dir):
     d = page_pairs(spark, sf_dir).select("pa", F.explode(xor_patch("base", "page")).alias("e"))
     return d.select("pa", F.col("e.w").cast("bigint").alias("w"), F.conv(F.hex("e.x"), 16, 10).alias("x"))
 
 
-@query(f"SELECT pa, len(list_filter(range(512), lambda i: substr(ha, i * 16 + 1, 16) <> substr(hb, i * 16 + 1, 16))) words FROM {PAIRS_SQL}")
+@query(f"SELECT pa, count(*) FILTER (wa <> wb) words FROM {PAIR_WORDS_SQL} GROUP BY pa")
 def patch_size(spark, sf_dir):
     return page_pairs(spark, sf_dir).select("pa", changed_words("base", "page").cast("bigint").alias("words"))
 
@@ -185,8 +193,8 @@ def patch_apply_roundtrip(spark, sf_dir):
     return d.select("pa", F.md5(F.hex("page").cast("binary")).alias("page_md5"))
 
 
-@query(f"""SELECT b.pa, CASE WHEN b.h = repeat('0', 8192) THEN 2 WHEN a.h <> repeat('0', 8192) AND len(list_filter(range(512), lambda i: substr(a.h, i * 16 + 1, 16) <> substr(b.h, i * 16 + 1, 16))) <= 64 THEN 1 ELSE 0 END kind
-FROM ({VERSIONS_SQL}) b JOIN ({VERSIONS_SQL}) a ON a.pa = b.pa AND a.snapshot_id = 0 WHERE b.snapshot_id = 30""")
+@query(f"""SELECT pa, CASE WHEN any_value(hb) = repeat('0', 8192) THEN 2 WHEN any_value(ha) <> repeat('0', 8192) AND count(*) FILTER (wa <> wb) <= 64 THEN 1 ELSE 0 END kind
+FROM (SELECT b.pa, a.h ha, b.h hb, unnest({CUT.format("a.h")}) wa, unnest({CUT.format("b.h")}) wb FROM ({VERSIONS_SQL}) b JOIN ({VERSIONS_SQL}) a ON a.pa = b.pa AND a.snapshot_id = 0 WHERE b.snapshot_id = 30) GROUP BY pa""")
 def adaptive_kind_batch(spark, sf_dir):
     d = v_versions(spark, sf_dir)
     first = encode_batch(d.where("snapshot_id = 0"), None)
@@ -199,14 +207,14 @@ def adaptive_kind_fold(spark, sf_dir):
     return d.select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), F.col("kind").cast("int").alias("kind"), F.col("base_snapshot").cast("bigint").alias("base_snapshot"), F.coalesce(F.size("patch"), F.lit(0)).cast("bigint").alias("words")).withColumn("words", F.greatest("words", F.lit(0)))
 
 
-@query(f"SELECT d.pa, d.snapshot_id, f.snapshot_id base_found FROM ({fold_sql(64)}) d LEFT JOIN ({fold_sql(64)}) f ON f.pa = d.pa AND f.snapshot_id = d.base_snapshot AND f.kind = 0 WHERE d.kind = 1")
+@query(f"WITH c AS MATERIALIZED ({fold_sql(64)}) SELECT d.pa, d.snapshot_id, f.snapshot_id base_found FROM c d LEFT JOIN c f ON f.pa = d.pa AND f.snapshot_id = d.base_snapshot AND f.kind = 0 WHERE d.kind = 1")
 def delta_base_join(spark, sf_dir):
     c = chunk_rows(spark, sf_dir)
     d = with_bases(c.where(F.col("kind") == DELTA), c)
     return d.select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), F.when(F.col("base_page").isNotNull(), F.col("base_snapshot")).cast("bigint").alias("base_found"))
 
 
-@query(f"SELECT pa, snapshot_id FROM ({fold_sql(64)}) d WHERE kind = 1 AND (pa % 11 = 0 OR NOT EXISTS (SELECT 1 FROM ({fold_sql(64)}) f WHERE f.pa = d.pa AND f.snapshot_id = d.base_snapshot AND f.kind = 0))")
+@query(f"WITH c AS MATERIALIZED ({fold_sql(64)}) SELECT pa, snapshot_id FROM c d WHERE kind = 1 AND (pa % 11 = 0 OR NOT EXISTS (SELECT 1 FROM c f WHERE f.pa = d.pa AND f.snapshot_id = d.base_snapshot AND f.kind = 0))")
 def orphan_deltas(spark, sf_dir):
     c = chunk_rows(spark, sf_dir)
     holed = c.where((F.col("kind") == DELTA) | (F.col("pa") % 11 != 0))  # full pages of some addresses are lost
@@ -261,8 +269,8 @@ def place_in(ordered: DataFrame, *order: str) -> DataFrame:
     return d.select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), (F.col("b") + F.col("_n")).alias("place"))
 
 
-@query(f"""SELECT pa, snapshot_id, error FROM (SELECT pa, snapshot_id, 'base is missing' error FROM ({fold_sql(64)}) WHERE kind = 1 AND pa % 11 = 0
-UNION ALL SELECT pa, snapshot_id, 'full page of wrong size' FROM ({fold_sql(64)}) WHERE kind = 0 AND pa % 13 = 0 AND pa % 11 <> 0)""")
+@query(f"""WITH c AS MATERIALIZED ({fold_sql(64)}) SELECT pa, snapshot_id, error FROM (SELECT pa, snapshot_id, 'base is missing' error FROM c WHERE kind = 1 AND pa % 11 = 0
+UNION ALL SELECT pa, snapshot_id, 'full page of wrong size' FROM c WHERE kind = 0 AND pa % 13 = 0 AND pa % 11 <> 0)""")
 def check_report(spark, sf_dir):
     c = chunk_rows(spark, sf_dir)
     holed = c.where((F.col("kind") == DELTA) | (F.col("kind") == ZERO) | (F.col("pa") % 11 != 0))
