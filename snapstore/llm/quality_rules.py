@@ -148,8 +148,11 @@ def apply_rules(docs: DataFrame, rules: QualityRules | None = None, text: str =
         "class_distance": F.expr(f"if(_chars < {r.min_chars}, CAST(NULL AS DOUBLE), array_min(array({', '.join(_distance('_classes', _array(r.languages[n].classes)) for n in names)})))"),
         "word_distance": F.expr(f"if(n_words < {r.min_words}, CAST(NULL AS DOUBLE), {_distance('_counts', f'element_at({shares}, _best)')})"),
         "base_failed": F.expr(f"n_words < {r.base_min_words} OR 100 * n_repeat_words > {r.base_max_repeat_pct} * n_words"),
+        # a filter on ``kept`` must not be pushed below this: it would be written out there
+        # in full, and arrays that lambdas refer to would be made anew for every element
+        "_row": F.monotonically_increasing_id(),
     })
-    d = d.withColumn("kept", F.expr(f"NOT base_failed AND coalesce(class_distance <= {r.max_class_distance}, true) AND coalesce(word_distance <= {r.max_word_distance}, true)"))
+    d = d.withColumn("kept", F.expr(f"_row >= 0 AND NOT base_failed AND coalesce(class_distance <= {r.max_class_distance}, true) AND coalesce(word_distance <= {r.max_word_distance}, true)"))
     return d.select("_own.*", *added)
 
 
