@@ -15,17 +15,19 @@ large runs, the member with most links so far; then all candidate pairs whose en
 still in different classes. Verification streams the partners of a text past it, in blocks
 of bounded total size, however many partners it has. Texts of large runs that are then
 outside the run's main class meet all its members of other classes, in pairs of blocks
-that give out links only. So near copies that end in one class cost some verifications
-each, and yet no two texts that meet in a run stay apart unless they were compared.
+that give out links only. So no two texts that meet in a run stay apart unless they were
+compared.
 
 Classes are the connected components of the links, found by minimum labels with pointer
 jumping over written tables; nothing that grows with the documents goes to the driver.
+Two texts that are linked are in one class, so links are counted there: all texts of a class
+meet in pairs of blocks of bounded total size, and each block pair gives out one sum a text.
 
 Defined results: words are split at white space; a text of fewer than five words has one
 shingle, all of them; texts without words, null ones among them, are copies of each other; a row without doc_id takes no part and has a null class; repeated rows are
 copies; rows of one id with different texts each have their own text's class; other
 columns stay out; an empty table gives no rows. ``n_links`` counts other rows: the copies
-of the text, and those of each other text that a verified link ties to it.
+of the text, and those of each other text of its class at the threshold or above it.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ from .common import materialise, shuffle_parts, text_columns
 
 SHINGLE = 5
 BLOCK_SHINGLES = 500_000
+DEGREE_SHINGLES = 50_000
 TREE_ROWS = 400_000
 NEAR = 4
 ROUNDS = 4
@@ -275,6 +278,22 @@ def spark_empty(docs: DataFrame, schema: str) -> DataFrame:
     return docs.sparkSession.createDataFrame([], schema)
 
 
+def shared_counts(sets: list[np.ndarray]):
+    """A function that gives how many hashes of a set are in each of ``sets``."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+
+    def count(s: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(every, s, side="left"), np.searchsorted(every, s, side="right")
+        many = hi - lo
+        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.bincount(owner[at], minlength=len(sets))
+
+    return count
+
+
 def stragglers(large: DataFrame, of_class: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Links of large runs' texts outside the run's largest class, with members of other classes.
 
@@ -302,17 +321,11 @@ def stragglers(large: DataFrame, of_class: DataFrame, sets: DataFrame, threshold
         if left.num_rows and right.num_rows:
             sets_of = [np.frombuffer(h, "<u8") for h in right.column("hashes2").to_pylist()]
             size = np.array([len(s) for s in sets_of])
-            owner = np.repeat(np.arange(len(sets_of)), size)
-            every_hash = np.concatenate(sets_of)
-            order = np.argsort(every_hash, kind="stable")
-            every_hash, owner = every_hash[order], owner[order]
+            shared = shared_counts(sets_of)
             tid, cls = right.column("tid2").to_numpy(), right.column("class2").to_numpy()
             for t, c, packed in zip(left.column("tid").to_pylist(), left.column("class").to_pylist(), left.column("hashes").to_pylist(), strict=True):
                 s = np.frombuffer(packed, "<u8")
-                lo, hi = np.searchsorted(every_hash, s, side="left"), np.searchsorted(every_hash, s, side="right")
-                many = hi - lo
-                at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
-                common = np.bincount(owner[at], minlength=len(size))
+                common = shared(s)
                 hit = np.flatnonzero((common >= threshold * (len(s) + size - common) - 1e-9) & (cls != c))
                 found += [(min(t, x), max(t, x)) for x in tid[hit].tolist()]
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
@@ -321,6 +334,40 @@ def stragglers(large: DataFrame, of_class: DataFrame, sets: DataFrame, threshold
     return materialise(met.applyInArrow(meet, "a long, b long").distinct(), "links")
 
 
+def degrees(texts: DataFrame, of_class: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(tid, others): the rows of the other texts of its class that each text is linked to.
+
+    Every two texts of a class are compared, once, in the pair of their blocks.
+    """
+    import pyarrow as pa
+
+    members = materialise(of_class.join(sets, "tid").join(texts.select("tid", "copies"), "tid"), "class-members")
+    blocks = members.groupBy("class").agg(F.ceil(F.sum("n_shingles") / DEGREE_SHINGLES).cast("int").alias("n"))
+    placed = members.join(blocks, "class").withColumn("own", F.pmod(F.xxhash64("tid"), "n").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    placed = placed.select("class", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "tid", "copies", "hashes")
+
+    def meet(rows: pa.Table) -> pa.Table:
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        own, tid, copies = (rows.column(c).to_numpy() for c in ("own", "tid", "copies"))
+        sets_of = [np.frombuffer(h, "<u8") for h in rows.column("hashes").to_pylist()]
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        others = np.zeros(len(tid), np.int64)
+        if len(left) and len(right):
+            size = np.array([len(sets_of[k]) for k in right])
+            shared = shared_counts([sets_of[k] for k in right])
+            for k in left.tolist():
+                common = shared(sets_of[k])
+                hit = right[common >= threshold * (len(sets_of[k]) + size - common) - 1e-9]
+                hit = hit[hit != k]
+                others[k] += copies[hit].sum()
+                if lo != hi:
+                    others[hit] += copies[k]
+        return pa.table({"tid": pa.array(tid), "others": pa.array(others)})
+
+    met = placed.groupBy("class", "lo", "hi").applyInArrow(meet, "tid long, others long")
+    return materialise(met.groupBy("tid").agg(F.sum("others").alias("others")), "degrees")
+
+
 def merge(of_class: DataFrame, links: DataFrame) -> DataFrame:
     """Classes after these links, as (tid, class) of texts that are in a class with others."""
     ends = in_class(in_class(links, of_class, "a", "ca"), of_class, "b", "cb")
@@ -351,14 +398,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 25, deepest: i
         found = verified(picked, sets, threshold)
         tried, links, of_class = tried.unionByName(picked), links.unionByName(found), merge(of_class, found)
         todo = apart(todo.join(picked, ["a", "b"], "left_anti"), of_class)
-    found = verified(todo.select("a", "b"), sets, threshold)
-    links, of_class = links.unionByName(found), merge(of_class, found)
+    of_class = merge(of_class, verified(todo.select("a", "b"), sets, threshold))
     found = stragglers(large, of_class, sets, threshold)
-    links, of_class = links.unionByName(found).distinct(), merge(of_class, found)
+    of_class = merge(of_class, found)
 
-    copies = texts.select(F.col("tid").alias("o"), "copies")
-    ends = links.select(F.col("a").alias("tid"), F.col("b").alias("o")).union(links.select("b", "a"))
-    degree = ends.join(copies, "o").groupBy("tid").agg(F.sum("copies").alias("others"))
+    degree = degrees(texts, of_class, sets, threshold)
     found = texts.join(of_class, "tid", "left").join(degree, "tid", "left").select("tid", "h1", "h2", "rep", "copies", F.coalesce("class", "tid").alias("class"), F.coalesce("others", F.lit(0)).alias("others"))
     found = materialise(found, "text-classes")
     ids = found.groupBy("class").agg(F.min("rep").alias("class_id"))

@@ -172,6 +172,17 @@ def test_jaccard_classes(spark, odd, empty):
     assert sorted(r[0] for r in jaccard_forest.keep_one(d).select("doc_id").collect()) == sorted(k for k in sets if find(k) == k)
 
 
+def test_jaccard_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_forest, "DEGREE_SHINGLES", 2500)  # several blocks for the large class
+    base, other = [f"w{k}" for k in range(200)], [f"v{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[: 2 * k], f"edit{k}", *base[2 * k + 1 :]])) for k in range(90)]
+    rows += [(200 + k, rows[5 * k][1]) for k in range(9)] + [(300 + k, " ".join([*other[: 50 * k], "x", *other[50 * k + 1 :]])) for k in range(3)]
+    rows += [(400 + k, " ".join([*base[24 * k :], *(f"t{j}" for j in range(24 * k))])) for k in range(6)]  # a chain: one class, not all linked
+    got = {r["doc_id"]: r["n_links"] for r in jaccard_forest.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for k, t in rows}
+    assert got == {a: sum(a != b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for b in sets) for a in sets}
+
+
 def test_shards(spark, odd, empty):
     d = spark.createDataFrame([(None, None), (1, ""), (1, "a")] + [(7, "x")] * 3000 + [(9, "y" * 3000)], "doc_id long, text string")
     rows = sharding.shard(d, 4, range_rows=10).collect()
