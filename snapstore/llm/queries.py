@@ -79,7 +79,7 @@ def op6_jaccard_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
-    trie = lm_trie.build(docs.where(~held_out))
+    trie = lm_trie.build(docs.where(~held_out), min_count=1)
     d = lm_trie.score(docs, trie)
     return d.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(trie.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

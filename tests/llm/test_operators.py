@@ -227,6 +227,34 @@ def test_language_model(spark, odd, empty):
     assert lm_trie.score(odd, lm_trie.build(empty)).count() == len(ODD)
 
 
+def test_language_model_query_keeps_pairs_seen_once(spark, tmp_path):
+    from snapstore.llm.queries import QUERIES
+
+    held = lambda k: zlib.crc32(str(k).encode()) % 7 == 2
+    rows = [(k, prose(k, 12)) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = {k: [*t.lower().split(), ""] for k, t in rows}
+    c, pairs, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+    for k in words:
+        if not held(k):
+            c.update(words[k])
+            pairs.update(zip(["", *words[k][:-1]], words[k]))
+    for u, _ in pairs:
+        kinds[u] += 1
+    n, v = sum(c.values()), len(c)
+    d1 = min(0.9, sum(x == 1 for x in c.values()) / v) or 0.5
+    got = QUERIES["op8_lm_trie"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(x == 1 for x in pairs.values()) > 100
+    for r in got:
+        w, want = words[r["doc_id"]], 0.0
+        for u, x in zip(["", *w[:-1]], w):
+            p = (c[x] - d1) / n if c[x] else d1 * v / n
+            if c[x] and c[u]:
+                p = max(0, pairs[u, x] - 0.75) / c[u] + 0.75 * kinds[u] / c[u] * p
+            want += math.log10(p)
+        assert r["held_out"] == held(r["doc_id"]) and abs(r["score"] - want) < 0.03 * len(w)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
