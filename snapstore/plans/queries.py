@@ -333,3 +333,9 @@ def human_sizes(spark, sf_dir):
 def hex_dump(spark, sf_dir):
     d = pages.hex_rows(v_docpages(spark, sf_dir).where("pa < 640"), "page")
     return d.select("pa", F.col("offset").cast("bigint").alias("offset"), "hex")
+
+
+@query(f"SELECT pa, i * 16 AS \"offset\", substr(h, i * 32 + 1, 32) hex FROM ({DOCPAGES_SQL}), (SELECT unnest(range(256)) i)")
+def hex_dump_all(spark, sf_dir):
+    d = pages.hex_rows(v_docpages(spark, sf_dir), "page")
+    return d.select("pa", F.col("offset").cast("bigint").alias("offset"), "hex")
