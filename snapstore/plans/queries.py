@@ -339,3 +339,15 @@ def hex_dump(spark, sf_dir):
 def hex_dump_all(spark, sf_dir):
     d = pages.hex_rows(v_docpages(spark, sf_dir), "page")
     return d.select("pa", F.col("offset").cast("bigint").alias("offset"), "hex")
+
+
+def all_dirty_words(spark, sf_dir):
+    bit = F.expr("shiftleft(1L, CAST(o_custkey % 64 AS INT))")
+    o = table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL")
+    return o.groupBy(F.floor(F.col("o_custkey") / 64).alias("w")).agg(F.bit_or(bit).alias("word"))
+
+
+@query("SELECT DISTINCT o_custkey // 64 w, o_custkey pa FROM orders WHERE o_custkey IS NOT NULL")
+def bitmap_expand_all(spark, sf_dir):
+    d = all_dirty_words(spark, sf_dir).select("w", F.array("word").alias("words"))
+    return pages.bitmap_pages(d, "words").select("w", (F.col("w") * 64 + F.col("pa")).alias("pa"))

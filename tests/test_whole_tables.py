@@ -13,3 +13,15 @@ def test_hex_dump_all(spark, tmp_path):
             page = b[i * 4096 : (i + 1) * 4096].ljust(4096, b"\0")
             want += [(k * 64 + i, at, page[at : at + 16].hex().upper()) for at in range(0, 4096, 16)]
     assert sorted(map(tuple, QUERIES["hex_dump_all"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def orders(spark, path, keys):
+    d = spark.createDataFrame(list(enumerate(keys)), "o_orderkey long, o_custkey long")
+    d.write.parquet(str(path / "orders.parquet"))
+
+
+def test_bitmap_expand_all(spark, tmp_path):
+    keys = [0, 1, 63, 63, 64, 126, 127, 999, 1000, 14_999, 70_000]
+    orders(spark, tmp_path, keys)
+    got = QUERIES["bitmap_expand_all"](spark, str(tmp_path)).collect()
+    assert sorted((r["w"], r["pa"]) for r in got) == sorted({(k // 64, k) for k in keys})
