@@ -351,3 +351,31 @@ def all_dirty_words(spark, sf_dir):
 def bitmap_expand_all(spark, sf_dir):
     d = all_dirty_words(spark, sf_dir).select("w", F.array("word").alias("words"))
     return pages.bitmap_pages(d, "words").select("w", (F.col("w") * 64 + F.col("pa")).alias("pa"))
+
+
+@query("SELECT w, dirty, (sum(dirty) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT slots_before FROM (SELECT o_custkey // 64 w, count(DISTINCT o_custkey) dirty FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1)")
+def bitmap_popcount_all(spark, sf_dir):
+    d = all_dirty_words(spark, sf_dir).withColumn("words", F.array("word")).select("w", pages.dirty_count("words").alias("dirty"))
+    return d.withColumn("slots_before", F.sum("dirty").over(versions.Window.orderBy("w").rowsBetween(versions.Window.unboundedPreceding, -1)))
+
+
+@query(f"SELECT o.pa, o.snapshot_id, o.seq FROM ({FIRST_ORDERS}) o JOIN (SELECT DISTINCT pa, snapshot_id FROM ({ORDERS_SQL})) k USING (pa, snapshot_id)")
+def exact_lookup_all(spark, sf_dir):
+    o = v_orders(spark, sf_dir)
+    d = versions.exact(versions.first_writes(o, "seq"), o.select("pa", "snapshot_id").distinct())
+    return d.select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), "seq")
+
+
+@query(f"SELECT pa, md5(h) page_md5 FROM ({DOCPAGES_SQL}) WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey * 64 = pa)")
+def semi_dirty_pages_all(spark, sf_dir):
+    dirty = table(spark, sf_dir, "orders").select((F.col("o_custkey") * 64).alias("pa"))
+    return v_docpages(spark, sf_dir).join(dirty, "pa", "left_semi").select("pa", F.md5(F.hex("page").cast("binary")).alias("page_md5"))
+
+
+@query(f"""SELECT r.pa, md5(coalesce(f.h, repeat('0', 8192))) page_md5, f.pa IS NOT NULL AS found FROM (SELECT unnest(range(0, (SELECT max(pa) + 1 FROM ({DOCPAGES_SQL})))) pa) r
+LEFT JOIN (SELECT pa, arg_max(h, snapshot_id) h FROM ({VERSIONS_SQL}) WHERE snapshot_id <= 25 GROUP BY pa) f USING (pa)""")
+def load_range_as_of_all(spark, sf_dir):
+    c = chunk_rows(spark, sf_dir)
+    last = v_docpages(spark, sf_dir).agg(F.max("pa")).first()[0]
+    d = versions.dense(resolve(versions.floor_at(c, 25), c).select("pa", "page"), 0, 0 if last is None else last + 1, page=pages.zero_page())
+    return d.select("pa", F.md5(F.hex("page").cast("binary")).alias("page_md5"), "found")

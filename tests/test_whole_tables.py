@@ -1,5 +1,7 @@
 """Queries that take whole tables, against brute force on small ones with far addresses."""
 
+import datetime
+
 from snapstore.plans.queries import QUERIES
 
 
@@ -25,3 +27,17 @@ def test_bitmap_expand_all(spark, tmp_path):
     orders(spark, tmp_path, keys)
     got = QUERIES["bitmap_expand_all"](spark, str(tmp_path)).collect()
     assert sorted((r["w"], r["pa"]) for r in got) == sorted({(k // 64, k) for k in keys})
+
+
+def test_subsets_gone(spark, tmp_path):
+    keys = [0, 1, 63, 64, 127, 5000, 70_000]
+    d = spark.createDataFrame([(k, c, datetime.date(1996, 1, 1 + k), 1.0) for k, c in enumerate(keys)], "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double")
+    d.write.parquet(str(tmp_path / "orders.parquet"))
+    texts = {0: "x" * 5000, 63: "y", 5000: "far away", 6000: "no order"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(r["pa"] for r in rows("exact_lookup_all")) == keys
+    assert sorted((r["w"], r["dirty"], r["slots_before"]) for r in rows("bitmap_popcount_all")) == [(0, 3, None), (1, 2, 3), (78, 1, 5), (1093, 1, 6)]
+    assert sorted(r["pa"] for r in rows("semi_dirty_pages_all")) == [0, 63 * 64, 5000 * 64]
+    got = rows("load_range_as_of_all")
+    assert sorted(r["pa"] for r in got) == list(range(6000 * 64 + 1)) and sorted(r["pa"] for r in got if r["found"]) == [0, 1, 63 * 64, 5000 * 64, 6000 * 64]
