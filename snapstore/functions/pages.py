@@ -16,14 +16,18 @@ def is_zero(page: str) -> Column:
     return F.col(page) == zero_page()
 
 
-def split_pages(df: DataFrame, image: str, pa_base: Column | None = None) -> DataFrame:
+def split_pages(df: DataFrame, image: str, pa_base: Column | None = None, most: int | None = None) -> DataFrame:
     """One row per 4 KiB page of the binary column ``image``, the last one padded with zeros.
 
     Adds ``pa`` (base plus index) and ``page``; an empty or null image has no pages.
+    An image of more than ``most`` pages is an error: its addresses would be those of the next.
     """
     base = F.lit(0) if pa_base is None else pa_base
     n = F.octet_length(image)
-    d = df.where(n > 0).withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / PAGE_SIZE).cast("int"))))
+    last = F.floor((n - 1) / PAGE_SIZE).cast("int")
+    if most is not None:
+        last = F.when(last < most, last).otherwise(F.raise_error(F.concat(F.lit(f"more than {most} pages in an image: "), n.cast("string"), F.lit(" bytes"))).cast("int"))
+    d = df.where(n > 0).withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
     part = F.substring(F.col(image), F.col("_i") * PAGE_SIZE + 1, F.lit(PAGE_SIZE))
     return d.withColumns({"pa": (base + F.col("_i")).cast("bigint"), "page": F.rpad(part, F.lit(PAGE_SIZE), F.lit(b"\0"))}).drop("_i", image)
 

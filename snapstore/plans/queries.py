@@ -156,7 +156,7 @@ def paging_documents(spark, sf_dir):
 FROM (SELECT page_id, html, unnest(range((strlen(html) - 1) // 4096 + 1)) i FROM pages WHERE strlen(html) > 0)""")
 def paging_html(spark, sf_dir):
     d = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("image"))
-    return pages.split_pages(d, "image", F.col("page_id") * 64).select("pa", F.md5(F.hex("page").cast("binary")).alias("page_md5"))
+    return pages.split_pages(d, "image", F.col("page_id") * 64, 64).select("pa", F.md5(F.hex("page").cast("binary")).alias("page_md5"))
 
 
 @query(f"SELECT snapshot_id, count(*) n, count(*) FILTER (h = repeat('0', 8192)) zero_pages FROM ({VERSIONS_SQL}) GROUP BY 1")

@@ -47,7 +47,7 @@ def v_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_docpages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("image"))
-    return split_pages(d, "image", F.col("doc_id") * STRIDE).select("pa", "page")
+    return split_pages(d, "image", F.col("doc_id") * STRIDE, STRIDE).select("pa", "page")
 
 
 def v_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import datetime
 
+import pytest
+
 from snapstore.plans.queries import QUERIES
 
 
@@ -41,3 +43,15 @@ def test_subsets_gone(spark, tmp_path):
     assert sorted(r["pa"] for r in rows("semi_dirty_pages_all")) == [0, 63 * 64, 5000 * 64]
     got = rows("load_range_as_of_all")
     assert sorted(r["pa"] for r in got) == list(range(6000 * 64 + 1)) and sorted(r["pa"] for r in got if r["found"]) == [0, 1, 63 * 64, 5000 * 64, 6000 * 64]
+
+
+@pytest.mark.parametrize(("name", "table", "schema"), [("paging_documents", "documents", "doc_id long, text string"), ("paging_html", "pages", "page_id long, html string")])
+def test_too_many_pages(spark, tmp_path, name, table, schema):
+    for size in (64 * 4096, 64 * 4096 + 1):
+        path = tmp_path / str(size)
+        spark.createDataFrame([(0, "x" * size), (1, "y")], schema).write.parquet(str(path / f"{table}.parquet"))
+        if size == 64 * 4096:
+            assert sorted(r["pa"] for r in QUERIES[name](spark, str(path)).collect()) == list(range(65))
+        else:
+            with pytest.raises(Exception, match="more than 64 pages"):
+                QUERIES[name](spark, str(path)).collect()
