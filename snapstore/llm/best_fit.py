@@ -27,13 +27,14 @@ import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_rank import MEMO, default_path, row_ranges
-from .common import materialise, text_columns
+from .common import materialise, release_memory, shrunk, text_columns
 
 CLOSING_ID = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, task_rank long"
@@ -127,26 +128,35 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
     return Plan(*(s[:, k] for k in range(5)), bins)
 
 
-_loaded: dict[str, tuple] = {}
+_libraries: dict[str, object] = {}
 
 
-def token_ids(texts: list[bytes], path: str) -> list[bytes]:
-    """Ids by the tokenizers library, a white-space-free run at a time, each distinct run once."""
-    if path not in _loaded:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+class TokenIds:
+    """Ids by the tokenizers library, a white-space-free run at a time, each distinct run once.
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
-    library, memo = _loaded[path]
-    cut = [t.split() for t in texts]  # bytes.split() cuts at ASCII white space only, which never joins what it separates
-    if len(memo) > MEMO:
-        memo.clear()
-    new = list(set().union(*cut).difference(memo))
-    for k in range(0, len(new), 10_000):
-        block = new[k : k + 10_000]
-        made = library.encode_batch_fast([w.decode() for w in block], add_special_tokens=False)
-        memo.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(block, made, strict=True))
-    return [b"".join(map(memo.__getitem__, words)) for words in cut]
+    The memo belongs to a task; over MEMO entries it shrinks to the words in use.
+    """
+
+    def __init__(self, path: str):
+        if path not in _libraries:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+            from tokenizers import Tokenizer
+
+            _libraries[path] = Tokenizer.from_file(path)
+        self.library, self.memo = _libraries[path], {}
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text as unsigned 32-bit integers, little-endian."""
+        cut = [t.split() for t in texts]  # bytes.split() cuts at ASCII white space only, which never joins what it separates
+        words = set().union(*cut)
+        self.memo = memo = shrunk(self.memo, words, MEMO)
+        new = list(words.difference(memo))
+        for k in range(0, len(new), 10_000):
+            block = new[k : k + 10_000]
+            ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in block], add_special_tokens=False)]
+            flat, end = np.fromiter(chain.from_iterable(ids), "<u4").tobytes(), (4 * np.cumsum([len(i) for i in ids])).tolist()
+            memo.update((w, flat[i:j]) for w, i, j in zip(block, [0, *end[:-1]], end, strict=True))
+        return [b"".join(map(memo.__getitem__, words)) for words in cut]
 
 
 def tokenised_pieces(docs: DataFrame, capacity: int, path: str) -> DataFrame:
@@ -162,18 +172,23 @@ def tokenised_pieces(docs: DataFrame, capacity: int, path: str) -> DataFrame:
 
         task = TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in batches:
-            for a, b in row_ranges(pc.binary_length(batch.column(1)).to_pylist()):
-                rows = []
-                doc_ids = batch.column(0).slice(a, b - a).to_pylist()
-                for doc_id, ids in zip(doc_ids, token_ids(batch.column(1).slice(a, b - a).to_pylist(), path), strict=True):
-                    ids = memoryview(ids + closing)
-                    for k, at in enumerate(range(0, len(ids) // 4, capacity)):
-                        part = ids[4 * at : 4 * (at + capacity)]
-                        n = len(part) // 4
-                        rows.append((doc_id, k, at, n, zlib.crc32(part), task, seen[n]))
-                        seen[n] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+        token_ids = TokenIds(path)
+        try:
+            for batch in batches:
+                for a, b in row_ranges(pc.binary_length(batch.column(1)).to_pylist()):
+                    rows = []
+                    doc_ids = batch.column(0).slice(a, b - a).to_pylist()
+                    for doc_id, ids in zip(doc_ids, token_ids(batch.column(1).slice(a, b - a).to_pylist()), strict=True):
+                        ids = memoryview(ids + closing)
+                        for k, at in enumerate(range(0, len(ids) // 4, capacity)):
+                            part = ids[4 * at : 4 * (at + capacity)]
+                            n = len(part) // 4
+                            rows.append((doc_id, k, at, n, zlib.crc32(part), task, seen[n]))
+                            seen[n] += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[c.split()[0] for c in PIECES.split(", ")])
+        finally:
+            token_ids.memo = {}
+            release_memory()
 
     return materialise(src.mapInArrow(run, PIECES), "pieces")
 

@@ -9,15 +9,17 @@ rows of all new words of a chunk of documents go through this together. Words of
 than LONG bytes take a linked list with a heap, which makes the same merges in
 logarithmic time each.
 
-Distinct words are encoded once per worker: a memo, emptied at MEMO entries, maps the
-bytes of a white-space-free run to its ids. White space never joins what it separates, so
-texts are cut there first; the special tokens hold none.
+Distinct words are encoded once: a memo of the task, which at MEMO entries shrinks to the
+words in use, maps the bytes of a white-space-free run to its ids and goes when the task
+ends. White space never joins what it separates, so texts are cut there first; the special
+tokens hold none.
 
 There is no shuffle: rows stay where they are read, and a long document costs its own
 bytes only. Defined results: a null text counts as empty, an empty text has no ids and
 decodes to an empty string; special tokens written out in a text become their ids, as the
-tokenizers library has it by default; repeated rows are encoded alike; other columns are
-carried along untouched by :func:`encode`.
+tokenizers library has it by default; repeated rows are encoded alike; an empty table gives
+no rows. :func:`encode` carries other columns along untouched, but replaces those named
+n_tokens, ids or decoded.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, own_columns, release_memory, shrunk
+
 SHORT, LONG = (8, 12, 16, 24, 40), 40
 WIDTH = [next(w for w in SHORT if n <= w) for n in range(LONG + 1)]
 #: White space as the pattern means it.
 BLANK = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-MEMO = 1_000_000
+MEMO = 250_000
 CHUNK = 4 << 20
 NONE = np.int32(2**31 - 1)
 
@@ -221,9 +225,9 @@ class RankBpe:
     def encode_batch(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [t.split() for t in texts]  # bytes.split() cuts at ASCII white space only
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        if new := set().union(*cut).difference(self.memo):
+        words = set().union(*cut)
+        self.memo = shrunk(self.memo, words, MEMO)
+        if new := words.difference(self.memo):
             self.learn(new)
         return [b"".join(map(self.memo.__getitem__, words)) for words in cut]
 
@@ -251,22 +255,26 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, decoded
     from pyspark.sql import types as T
 
     path = path or default_path()
-    keep = [c for c in docs.columns if c not in (text, "n_tokens", "ids", "decoded")]
-    src = docs.select(*(docs[c] for c in keep), F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias("_text"))
+    keep = own_columns(docs, (text, "n_tokens", "ids", "decoded"))
+    src = docs.select(*(docs[c] for c in keep), F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias(fresh(keep, "_text")))
     made = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            for a, b in row_ranges(pc.binary_length(column).to_pylist()):
-                texts = column.slice(a, b - a).to_pylist()
-                ids = bpe.encode_batch(texts)
-                out = [c.slice(a, b - a) for c in batch.columns[:-1]]
-                out += [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
-                if decoded:
-                    out.append(pa.array([bpe.decode(i) for i in ids], pa.binary()).cast(pa.string()))
-                yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], *(f.name for f in made)])
+        try:
+            for batch in batches:
+                column = batch.column(batch.num_columns - 1)
+                for a, b in row_ranges(pc.binary_length(column).to_pylist()):
+                    texts = column.slice(a, b - a).to_pylist()
+                    ids = bpe.encode_batch(texts)
+                    out = [c.slice(a, b - a) for c in batch.columns[:-1]]
+                    out += [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                    if decoded:
+                        out.append(pa.array([bpe.decode(i) for i in ids], pa.binary()).cast(pa.string()))
+                    yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[:-1], *(f.name for f in made)])
+        finally:
+            bpe.memo = {}
+            release_memory()
 
     return src.mapInArrow(run, T.StructType([*src.schema.fields[:-1], *made]))
 

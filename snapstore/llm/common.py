@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
+import ctypes
+import gc
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +22,7 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_BYTES = SPACE.encode()
 
 _own: dict[str, str] = {}
+_temporary: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("temporary", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Unset, a local session gets a temporary folder of its own that goes at exit; a
-    session on a cluster uses the warehouse, which is shared too.
+    Unset, a local session gets a temporary folder of its own that goes at exit. A session
+    on a cluster has no folder that is known to be shared then, and is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="snapstore-")
         atexit.register(shutil.rmtree, _own["dir"], ignore_errors=True)
@@ -43,7 +50,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Tables that are materialised in this context go at its end, but for those that ``keep`` says to leave."""
+    token = _temporary.set([])
+    try:
+        yield
+    finally:
+        for path in _temporary.get():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _temporary.reset(token)
+
+
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and reread it.
 
     Cuts the lineage: a lost executor costs only the reread of its files, and later
@@ -52,9 +72,41 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
+    if not keep and _temporary.get() is not None:
+        _temporary.get().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own_columns(docs: DataFrame, made: Iterable[str]) -> list[str]:
+    """The columns of ``docs`` that an operator keeps: those whose names it does not make itself (in any case)."""
+    names = {m.lower() for m in made}
+    return [c for c in docs.columns if c.lower() not in names]
+
+
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name`` behind as many underscores as keep it apart from all ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def shrunk(memo: dict, words: Iterable, most: int) -> dict:
+    """``memo``, or where it has grown over ``most`` entries only those of ``words``, which are in use."""
+    return memo if len(memo) <= most else {w: memo[w] for w in words if w in memo}
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a task: Python workers outlive their tasks."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def shuffle_parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -8,12 +8,13 @@ Stems are learnt apart for each fold, so that no document's features know its ow
 
 The classifier is fitted on a bounded sample of labelled rows (``sample_rows``), whose
 features alone reach the driver; counts of stems are added up by the executors. Scoring is
-one pass without a shuffle: words are looked up in a memo of at most MEMO entries, so the
-cost follows the bytes of the text.
+one pass without a shuffle: words are looked up in a memo of the task that shrinks to the
+words in use at MEMO entries, so the cost follows the bytes of the text.
 
 Defined results: a null or empty text is scored from its all-zero features; repeated rows
 score alike; without labels of both kinds every score is the share of toxic labels (0 if
-there are none); a null doc_id is never held out; other columns pass through.
+there are none); a null doc_id is never held out; an empty table gives no rows; other
+columns pass through, but those named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -31,13 +32,13 @@ from pyspark.sql import types as T
 
 from .boosting import BoostedTrees, Isotonic
 from .bpe_rank import row_ranges
-from .common import labelled_sample, remainder
+from .common import fresh, labelled_sample, own_columns, release_memory, remainder, shrunk
 
 HELD_OUT_MOD, HELD_OUT = 5, 0
 SAMPLE_ROWS = 12_000
 FOLDS = 3
-MEMO = 300_000
-MAX_STEMS = 5_000
+MEMO = 150_000
+MIN_DOCS, MIN_ODDS = 3, 2.0
 SEED = "idiot moron stupid loser scum trash worthless pathetic disgusting dumb ugly hate kill shut bastard".split()
 SECOND = {w.encode() for w in "you your yours yourself u ur du dich dir dein deine deiner euch euer ihr sie tu te toi ton ta tes vous votre vos tú ti tuyo usted ustedes vosotros os".split()}
 LEET = bytes.maketrans(b"013457@$!|", b"oieastasil")
@@ -91,13 +92,13 @@ class Extractor:
             plain = bytes(c for c in word.lower().translate(LEET) if 97 <= c <= 122)
             if (w := self.weight(plain)) > 0:
                 flags |= MASKED
-        return flags | min(int(100 * w), 4095) << 8 | (zlib.crc32(low) & 0xFFFF) << 20 if w else flags
+        return flags | min(int(100 * w), 4095) << 8 | zlib.crc32(low) << 20 if w else flags
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         cut = [t.split() for t in texts]
-        for w in set().union(*cut).difference(self.memo):
+        used = set().union(*cut)
+        self.memo = shrunk(self.memo, used, MEMO)
+        for w in used.difference(self.memo):
             self.memo[w] = self.code(w)
         out = np.zeros((len(texts), len(FEATURES)))
         for k, (text, words) in enumerate(zip(texts, cut, strict=True)):
@@ -134,19 +135,19 @@ def learn_lexicon(sample: DataFrame) -> list[dict[bytes, float]]:
 
     rows = sample.select(F.col("text").cast("binary").alias("text"), "y", fold_of("doc_id").alias("fold")).mapInArrow(count, "stem binary, fold int, y int, n long")
     sums = [F.sum(F.when((F.col("fold") == f) & (F.col("y") == y), F.col("n")).otherwise(0)).alias(f"n{f}{y}") for f in range(FOLDS) for y in (0, 1)]
-    toxic, clean = (sum(F.col(f"n{f}{y}") for f in range(FOLDS)) for y in (1, 0))
-    best = rows.groupBy("stem").agg(*sums).where((toxic >= 4) & (toxic > clean)).orderBy((toxic / (clean + 1)).desc(), "stem").limit(MAX_STEMS).collect()
     totals = {(r["fold"], r["y"]): r["n"] for r in sample.groupBy(fold_of("doc_id").alias("fold"), "y").agg(F.count("*").alias("n")).collect()}
-    out = []
+    odds = []
     for left_out in [*range(FOLDS), None]:
         use = [f for f in range(FOLDS) if f != left_out]
         n0, n1 = (sum(totals.get((f, y), 0) for f in use) for y in (0, 1))
+        toxic, clean = (sum(F.col(f"n{f}{y}") for f in use) for y in (1, 0))
+        odds.append(F.when(toxic >= MIN_DOCS, F.log((toxic + 0.5) / (n1 + 1)) - F.log((clean + 0.5) / (n0 + 1))))
+    # the stems that some lexicon takes; the bounded sample bounds how many there are
+    found = rows.groupBy("stem").agg(*sums).select("stem", F.array(*odds).alias("odds")).where(F.exists("odds", lambda o: o > MIN_ODDS)).collect()
+    out = []
+    for k in range(len(odds)):
         lexicon = {s.encode(): 2.0 for s in SEED}
-        for r in best:
-            a, b = (sum(r[f"n{f}{y}"] for f in use) for y in (1, 0))
-            odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-            if a >= 3 and odds > 2.0:
-                lexicon[bytes(r["stem"])] = float(odds)
+        lexicon |= {bytes(r["stem"]): r["odds"][k] for r in found if r["odds"][k] is not None and r["odds"][k] > MIN_ODDS}
         out.append(lexicon)
     return out
 
@@ -171,23 +172,30 @@ class ToxicityModel:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on rows whose crc32(doc_id) mod 5 is not 0."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     sample = labelled_sample(docs, labels, "toxic", remainder(F.col("doc_id"), HELD_OUT_MOD) != HELD_OUT, sample_rows, "toxicity-sample")
     lexicons = learn_lexicon(sample)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # columns of fold f come from the lexicon that did not see it; the last are from all
-        own = [Extractor(x) for x in lexicons]
-        for batch in batches:
-            texts, folds = batch.column(0).to_pylist(), batch.column(2).to_numpy()
-            full, apart = own[-1].features(texts), np.zeros((len(texts), len(FEATURES)))
-            for f in range(FOLDS):
-                at = np.flatnonzero(folds == f)
-                if len(at):
-                    apart[at] = own[f].features([texts[i] for i in at])
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(apart.tolist(), pa.list_(pa.float64())), pa.array(full.tolist(), pa.list_(pa.float64()))], names=["y", "fold", "apart", "full"])
-
-    rows = sample.select(F.col("text").cast("binary").alias("text"), "y", fold_of("doc_id").alias("fold"), "doc_id").mapInArrow(extract, "y int, fold int, apart array<double>, full array<double>").toPandas()
+        # the features of a document of fold f come from the lexicon that did not see it
+        own = [Extractor(x) for x in lexicons[:FOLDS]]
+        try:
+            for batch in batches:
+                for a, b in row_ranges(pc.binary_length(batch.column(0)).to_pylist()):
+                    texts, folds = batch.column(0).slice(a, b - a).to_pylist(), batch.column(2).slice(a, b - a).to_numpy()
+                    apart = np.zeros((b - a, len(FEATURES)))
+                    for f in range(FOLDS):
+                        at = np.flatnonzero(folds == f)
+                        if len(at):
+                            apart[at] = own[f].features([texts[i] for i in at])
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(apart.tolist(), pa.list_(pa.float64()))], names=["y", "fold", "apart"])
+        finally:
+            for extractor in own:
+                extractor.memo = {}
+            release_memory()
+
+    rows = sample.select(F.col("text").cast("binary").alias("text"), "y", fold_of("doc_id").alias("fold")).mapInArrow(extract, "y int, fold int, apart array<double>").toPandas()
     y = rows["y"].to_numpy(float)
     share = float(y.mean()) if len(y) else 0.0
     if len(np.unique(y)) < 2:
@@ -206,16 +214,20 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFram
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
-    d = docs.select(*(docs[c] for c in own), F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias("_bytes"))
+    own = own_columns(docs, ("score", "predicted"))
+    d = docs.select(*(docs[c] for c in own), F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias(fresh(own, "_bytes")))
     schema = T.StructType([*d.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         extractor = Extractor(model.lexicon)
-        for batch in batches:
-            texts = batch.column(len(own))
-            for a, b in row_ranges(pc.binary_length(texts).to_pylist()):
-                s = model.scores(extractor, texts.slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
+        try:
+            for batch in batches:
+                texts = batch.column(len(own))
+                for a, b in row_ranges(pc.binary_length(texts).to_pylist()):
+                    s = model.scores(extractor, texts.slice(a, b - a).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=schema.names)
+        finally:
+            extractor.memo = {}
+            release_memory()
 
     return d.mapInArrow(run, schema)

@@ -63,7 +63,7 @@ def test_bpe_equals_the_library():
     for text, ids, want in zip(texts, own.encode_batch([t.encode() for t in texts]), library.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(ids, "<u4").tolist() == want.ids, text
         assert own.decode(ids).decode() == library.decode(want.ids, skip_special_tokens=False)
-    assert [np.frombuffer(i, "<u4").tolist() for i in best_fit.token_ids([t.encode() for t in TEXTS], path)] == [e.ids for e in library.encode_batch(TEXTS, add_special_tokens=False)]
+    assert [np.frombuffer(i, "<u4").tolist() for i in best_fit.TokenIds(path)([t.encode() for t in TEXTS])] == [e.ids for e in library.encode_batch(TEXTS, add_special_tokens=False)]
 
 
 def test_elias_fano():
