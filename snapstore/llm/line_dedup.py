@@ -17,7 +17,8 @@ never sorted or grouped. Documents without an entry keep every line.
 Defined results: a null text has one empty line and stays as it is; a row without doc_id
 takes no part and is kept whole; repeated rows (one id, one text) share one bitmap, two
 texts under one id are one document whose lines never drop each other; other columns pass
-through :func:`apply_bitmaps`; empty tables give empty results.
+through :func:`apply_bitmaps`, but those named n_lines or n_dropped are replaced; empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe_rank import row_ranges
-from .common import SPACE, SPACE_BYTES, materialise, shuffle_parts, text_columns
+from .common import SPACE, SPACE_BYTES, fresh, materialise, own_columns, shuffle_parts, text_columns
 
 KEY = ("h1", "h2", "doc_id", "pos")
 DROPPED, OPEN, LAST = 0, 1, 2
@@ -133,12 +134,13 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, text: str = "text") -> Da
     """``docs`` with the dropped lines gone from ``text``, and columns n_lines and n_dropped."""
     import pyarrow as pa
 
-    own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("keep_bitmap").alias("_bitmap"))
-    d = docs.select(*(docs[c] for c in own), F.xxhash64(docs[text].cast("string")).alias("_text_hash"))
-    d = d.join(b, (d["doc_id"] == b["_id"]) & (d["_text_hash"] == b["_hash"]), "left").select(*own, "_bitmap")
+    own = own_columns(docs, ("n_lines", "n_dropped"))
+    id_, hash_, bitmap, text_hash = (fresh(own, c) for c in ("_id", "_hash", "_bitmap", "_text_hash"))
+    b = bitmaps.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("keep_bitmap").alias(bitmap))
+    d = docs.select(*(docs[c] for c in own), F.xxhash64(docs[text].cast("string")).alias(text_hash))
+    d = d.join(b, (d["doc_id"] == b[id_]) & (d[text_hash] == b[hash_]), "left").select(*own, bitmap)
     place = own.index(text)
-    schema = T.StructType([*(f for f in d.schema.fields if f.name != "_bitmap"), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*d.schema.fields[:-1], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
