@@ -3,20 +3,20 @@
 Texts with the same words are first folded into one (``copies``). Each distinct text gets
 MinHash values for ``trees`` tries of ``deepest`` values. A trie is its sorted labels: rows
 (tree, label, text) are range-partitioned and sorted, so one common label spreads over as
-many partitions as it fills. Texts match at the depth of their common prefix. Prefixes
-start at full depth and are shortened until a pair at the similarity threshold is matched
-in some tree with the target recall, which gives the shallowest depth (``min_depth``).
-
-All pairs of a small run of equal prefixes are candidates; in a run of more than NEAR + 1
-texts each is paired with the run's least text at every depth and with the NEAR texts
-before it. Candidates are verified on whole sets of 64-bit shingle hashes, in rounds:
-ROUNDS times each text against the partner in another class that it met most often and, in
-large runs, the member with most links so far; then all candidate pairs whose ends are
-still in different classes. Verification streams the partners of a text past it, in blocks
-of bounded total size, however many partners it has. Texts of large runs that are then
-outside the run's main class meet all its members of other classes, in pairs of blocks
-that give out links only. So no two texts that meet in a run stay apart unless they were
-compared.
+many partitions as it fills. Texts match at the depth of their common prefix.
+
+Prefixes start at full depth and are shortened value by value until a pair at the
+similarity threshold is matched in some tree with the target recall (``min_depth``). At
+each depth a text is paired with the least text of its run in every tree and verified
+against the one it meets most often; a shorter prefix is taken up only by texts that meet
+another class there. Then all pairs with least texts that are still in different classes
+are verified, and, in runs that still hold several classes, each text with the member that
+has most links so far. What is then outside the largest class of a run meets all members of
+runs with that class, in pairs of blocks of bounded size that give out links only. So no
+two texts that meet in a run at the shortest depth stay apart unless they were compared.
+
+Verification is exact, on whole sets of 64-bit shingle hashes; it streams the partners of a
+text past it, in blocks of bounded total size, however many partners it has.
 
 Classes are the connected components of the links, found by minimum labels with pointer
 jumping over written tables; nothing that grows with the documents goes to the driver.
@@ -24,10 +24,12 @@ Two texts that are linked are in one class, so links are counted there: all text
 meet in pairs of blocks of bounded total size, and each block pair gives out one sum a text.
 
 Defined results: words are split at white space; a text of fewer than five words has one
-shingle, all of them; texts without words, null ones among them, are copies of each other; a row without doc_id takes no part and has a null class; repeated rows are
-copies; rows of one id with different texts each have their own text's class; other
-columns stay out; an empty table gives no rows. ``n_links`` counts other rows: the copies
-of the text, and those of each other text of its class at the threshold or above it.
+shingle, all of them; texts without words, null ones among them, are copies of each other;
+a row without doc_id takes no part and has a null class; repeated rows are copies; rows of
+one id with different texts each have their own text's class; other columns stay out,
+whatever their names; an empty table gives no rows; ties among pairs only decide which is
+verified first. ``n_links`` counts other rows: the copies of the text, and those of each
+other text of its class at the threshold or above it.
 """
 
 from __future__ import annotations
@@ -40,14 +42,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_rank import row_ranges
-from .common import materialise, shuffle_parts, text_columns
+from .common import fresh, materialise, shuffle_parts, temporary, text_columns
 
 SHINGLE = 5
 BLOCK_SHINGLES = 500_000
-DEGREE_SHINGLES = 50_000
+MEET_SHINGLES, MEET_ROWS = 50_000, 250
 TREE_ROWS = 400_000
-NEAR = 4
-ROUNDS = 4
+HUB_ROUNDS = 2
 PAIR, HEAD, TAIL, MEMBER = range(4)
 
 
@@ -113,10 +114,10 @@ def signed_texts(docs: DataFrame, values: int) -> DataFrame:
 
 
 def candidates(texts: DataFrame, trees: int, deepest: int, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a < b) of texts that share a prefix of ``depth`` values in some tree, and large runs.
+    """Pairs of texts (a < b) with the least text of their run, and the members of runs.
 
-    All pairs of a run of up to NEAR + 1 texts; of a larger one each text's pairs with the
-    least texts and with the NEAR before it, and the run's members (tree, label, tid).
+    Pairs come with the longest prefix they share (``depth``, at least the given one) and how
+    often they met; members are (tree, label, tid), the label cut to the given depth.
     """
     import pyarrow as pa
 
@@ -144,36 +145,34 @@ def candidates(texts: DataFrame, trees: int, deepest: int, depth: int) -> tuple[
         for d in range(depth, deepest + 1):
             start = np.flatnonzero(shared < d)
             least = np.repeat(np.minimum.reduceat(tid, start), np.diff([*start, len(tid)]))
-            pairs.append(np.stack([least, tid], axis=1))
+            at = np.flatnonzero(least != tid)
+            pairs.append(np.stack([least[at], tid[at], np.full(len(at), d)], axis=1))
             if d == depth:
                 ends = int(least[0]), int(least[-1])
+        found, often = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
         run_of = np.cumsum(shared < depth) - 1
-        for w in range(1, NEAR + 1):
-            at = np.flatnonzero(run_of[w:] == run_of[:-w])
-            pairs.append(np.sort(np.stack([tid[at], tid[at + w]], axis=1), axis=1))
-        found = np.concatenate(pairs)
-        found, often = np.unique(found[found[:, 0] != found[:, 1]], axis=0, return_counts=True)
         size = np.bincount(run_of)
-        size[[0, -1]] = len(tid)  # runs that may go on in another partition count as large
-        large = np.flatnonzero(size[run_of] > NEAR + 1)
+        size[[0, -1]] = len(tid)  # runs that may go on in another partition
+        member = np.flatnonzero(size[run_of] > 1)
         prefix = np.ascontiguousarray(label[:, :depth]).view(f"V{2 * depth}").ravel()
         part = TaskContext.get().partitionId()
 
-        def batch(kind, a, b, tree, label, part):
+        def batch(kind, a, b, tree, label, part, depth):
             n = len(a)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b), pa.array(part, pa.int32()), pa.array(tree, pa.int32()), pa.array(label, pa.binary())], names=["kind", "a", "b", "part", "tree", "label"])
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(a, pa.int64()), pa.nulls(n, pa.int64()) if b is None else pa.array(b), pa.array(part, pa.int32()), pa.array(tree, pa.int32()), pa.array(label, pa.binary()), pa.array(depth, pa.int32())], names=["kind", "a", "b", "part", "tree", "label", "depth"])
 
-        yield batch(PAIR, found[:, 0], found[:, 1], [None] * len(found), [None] * len(found), often.astype(np.int32))
-        yield batch(MEMBER, tid[large], None, tree[large], [x.tobytes() for x in prefix[large]], [part] * len(large))
-        yield batch(HEAD, ends[:1], None, tree[:1], [prefix[0].tobytes()], [part - 1])
-        yield batch(TAIL, ends[1:], None, tree[-1:], [prefix[-1].tobytes()], [part])
+        none = [None] * len(found)
+        yield batch(PAIR, found[:, 0], found[:, 1], none, none, often.astype(np.int32), found[:, 2])
+        yield batch(MEMBER, tid[member], None, tree[member], [x.tobytes() for x in prefix[member]], [part] * len(member), [depth] * len(member))
+        yield batch(HEAD, ends[:1], None, tree[:1], [prefix[0].tobytes()], [part - 1], [depth])
+        yield batch(TAIL, ends[1:], None, tree[-1:], [prefix[-1].tobytes()], [part], [depth])
 
-    found = materialise(ordered.mapInArrow(run, "kind int, a long, b long, part int, tree int, label binary"), "candidates")
+    found = materialise(ordered.mapInArrow(run, "kind int, a long, b long, part int, tree int, label binary, depth int"), "candidates")
     # a run that a partition boundary cuts goes on in the next: two rows per partition tell
     heads = found.where(F.col("kind") == HEAD).select("part", "tree", "label", F.col("a").alias("head"))
     tails = found.where(F.col("kind") == TAIL).select("part", "tree", "label", F.col("a").alias("tail"))
-    over = heads.join(F.broadcast(tails), ["part", "tree", "label"]).where("head != tail").select(F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b"), F.lit(1).alias("part"))
-    pairs = found.where(F.col("kind") == PAIR).select("a", "b", "part").unionByName(over).groupBy("a", "b").agg(F.sum("part").alias("often"))
+    over = heads.join(F.broadcast(tails), ["part", "tree", "label"]).where("head != tail").select(F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b"), F.lit(1).alias("part"), F.lit(depth).alias("depth"))
+    pairs = found.where(F.col("kind") == PAIR).select("a", "b", "part", "depth").unionByName(over).groupBy("a", "b").agg(F.sum("part").alias("often"), F.max("depth").alias("depth"))
     return materialise(pairs, "candidate-pairs"), found.where(F.col("kind") == MEMBER).select("tree", "label", F.col("a").alias("tid"))
 
 
@@ -264,14 +263,25 @@ def best_partners(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("t").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
 
 
-def hub_partners(large: DataFrame, links: DataFrame) -> DataFrame:
-    """Each member of a large run with the member that has most links so far."""
+def mixed_runs(members: DataFrame, of_class: DataFrame) -> DataFrame:
+    """(tree, label, tid, class, main) of runs that hold several classes; ``main``: the largest.
+
+    Runs of two texts are left out: their pair is one with the least text.
+    """
+    run = ["tree", "label"]
+    d = in_class(members, of_class, "tid", "class")
+    sizes = d.groupBy(*run, "class").agg(F.count("*").alias("n"))
+    main = sizes.groupBy(*run).agg(F.max(F.struct("n", F.col("class").alias("main"))).alias("m"), F.count("*").alias("many"), F.sum("n").alias("all")).where("many > 1 AND all > 2").select(*run, "m.main")
+    return materialise(d.join(main, run), "mixed-runs")
+
+
+def hub_partners(mixed: DataFrame, links: DataFrame) -> DataFrame:
+    """Each text outside its run's class of the member with most links so far, paired with the best such hub."""
     run = ["tree", "label"]
     degree = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("n"))
-    ranked = large.join(degree, "tid")
-    hubs = ranked.groupBy(*run).agg(F.max(F.struct("n", F.col("tid").alias("hub"))).alias("h")).select(*run, "h.hub")
-    met = large.join(hubs, run).where("tid != hub")
-    return met.select(F.least("tid", "hub").alias("a"), F.greatest("tid", "hub").alias("b")).distinct()
+    hubs = mixed.join(degree, "tid").groupBy(*run).agg(F.max(F.struct("n", F.col("tid").alias("hub"), F.col("class").alias("other"))).alias("h"))
+    met = mixed.join(hubs, run).where("class != h.other").groupBy("tid").agg(F.max("h").alias("h"))
+    return met.select(F.least("tid", "h.hub").alias("a"), F.greatest("tid", "h.hub").alias("b")).distinct()
 
 
 def spark_empty(docs: DataFrame, schema: str) -> DataFrame:
@@ -294,22 +304,18 @@ def shared_counts(sets: list[np.ndarray]):
     return count
 
 
-def stragglers(large: DataFrame, of_class: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links of large runs' texts outside the run's largest class, with members of other classes.
+def stragglers(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links of texts outside their run's largest class, with members of other classes.
 
-    Outsiders and members of a class's runs meet in pairs of blocks of bounded total size;
-    a block pair counts common shingles through one sorted list and gives out links only.
+    Outsiders and members of the runs of a largest class meet in pairs of blocks of bounded
+    size; a block pair counts common shingles through one sorted list and gives out links only.
     """
     import pyarrow as pa
 
-    run = ["tree", "label"]
-    members = materialise(in_class(large, of_class, "tid", "class"), "run-members")
-    sizes = members.groupBy(*run, "class").agg(F.count("*").alias("n"))
-    main = sizes.groupBy(*run).agg(F.max(F.struct("n", F.col("class").alias("main"))).alias("m"), F.count("*").alias("many")).where("many > 1").select(*run, "m.main")
-    mixed = materialise(members.join(main, run).select("main", "tid", "class").distinct().join(sets, "tid"), "mixed-runs")
+    mixed = materialise(mixed.select("main", "tid", "class").distinct().join(sets, "tid"), "mixed-texts")
     outside = F.col("class") != F.col("main")
-    block = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK_SHINGLES)).cast("int")
-    blocks = mixed.groupBy("main").agg(block(F.sum("n_shingles")).alias("nm"), block(F.sum(F.when(outside, F.col("n_shingles")).otherwise(0))).alias("no"))
+    block = lambda cond: F.greatest(F.lit(1), F.ceil(F.sum(F.when(cond, F.col("n_shingles")).otherwise(0)) / MEET_SHINGLES), F.ceil(F.count_if(cond) / MEET_ROWS)).cast("int")
+    blocks = mixed.groupBy("main").agg(block(F.lit(True)).alias("nm"), block(outside).alias("no"))
     placed = mixed.join(blocks, "main")
     own = lambda n: F.pmod(F.xxhash64("tid"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -342,7 +348,7 @@ def degrees(texts: DataFrame, of_class: DataFrame, sets: DataFrame, threshold: f
     import pyarrow as pa
 
     members = materialise(of_class.join(sets, "tid").join(texts.select("tid", "copies"), "tid"), "class-members")
-    blocks = members.groupBy("class").agg(F.ceil(F.sum("n_shingles") / DEGREE_SHINGLES).cast("int").alias("n"))
+    blocks = members.groupBy("class").agg(F.greatest(F.ceil(F.sum("n_shingles") / MEET_SHINGLES), F.ceil(F.count("*") / MEET_ROWS)).cast("int").alias("n"))
     placed = members.join(blocks, "class").withColumn("own", F.pmod(F.xxhash64("tid"), "n").cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     placed = placed.select("class", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "tid", "copies", "hashes")
 
@@ -380,41 +386,50 @@ def merge(of_class: DataFrame, links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = 0.8, trees: int = 25, deepest: int = 7, recall: float = 0.999) -> DataFrame:
     """(doc_id, class_id, n_links) of every row; ``class_id`` is the least doc_id of the class."""
     depth = min_depth(threshold, trees, recall, deepest)
-    signed = materialise(signed_texts(docs, trees * deepest), "signed")
-    texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))  # alike in all copies
-    texts = materialise(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
-
-    todo, large = candidates(texts, trees, deepest, depth)
-    sets = shingle_sets(docs, texts, todo)
-    of_class = spark_empty(docs, "tid long, class long")
-    links = spark_empty(docs, "a long, b long")
-    tried = links
-    for k in range(ROUNDS):
-        picked = best_partners(todo)
-        if k:  # by now it shows which texts of a large run have many links
-            hubs = apart(hub_partners(large, links), of_class)
-            picked = picked.unionByName(hubs).distinct().join(tried, ["a", "b"], "left_anti")
-        picked = materialise(picked, "picked-pairs")
-        found = verified(picked, sets, threshold)
-        tried, links, of_class = tried.unionByName(picked), links.unionByName(found), merge(of_class, found)
-        todo = apart(todo.join(picked, ["a", "b"], "left_anti"), of_class)
-    of_class = merge(of_class, verified(todo.select("a", "b"), sets, threshold))
-    found = stragglers(large, of_class, sets, threshold)
-    of_class = merge(of_class, found)
-
-    degree = degrees(texts, of_class, sets, threshold)
-    found = texts.join(of_class, "tid", "left").join(degree, "tid", "left").select("tid", "h1", "h2", "rep", "copies", F.coalesce("class", "tid").alias("class"), F.coalesce("others", F.lit(0)).alias("others"))
-    found = materialise(found, "text-classes")
-    ids = found.groupBy("class").agg(F.min("rep").alias("class_id"))
-    found = found.join(ids, "class").select("h1", "h2", "class_id", (F.col("others") + F.col("copies") - 1).alias("n_links"))
+    with temporary(docs.sparkSession):
+        signed = materialise(signed_texts(docs, trees * deepest), "signed", keep=True)
+        texts = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))  # alike in all copies
+        texts = materialise(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
+
+        todo, members = candidates(texts, trees, deepest, depth)
+        sets = shingle_sets(docs, texts, todo)
+        of_class, links = spark_empty(docs, "tid long, class long"), spark_empty(docs, "a long, b long")
+        tried = links
+        for d in range(deepest, depth - 1, -1):
+            picked = materialise(best_partners(todo.where(F.col("depth") >= d)), "picked-pairs")
+            found = verified(picked, sets, threshold)
+            tried, links, of_class = tried.unionByName(picked), links.unionByName(found), merge(of_class, found)
+            todo = apart(todo.join(picked, ["a", "b"], "left_anti"), of_class)
+        todo = todo.select("a", "b")
+        found = verified(todo, sets, threshold)
+        tried, links, of_class = tried.unionByName(todo), links.unionByName(found), merge(of_class, found)
+        mixed = mixed_runs(members, of_class)
+        for _ in range(HUB_ROUNDS):
+            if mixed.isEmpty():
+                break
+            picked = materialise(hub_partners(mixed, links).join(tried, ["a", "b"], "left_anti"), "picked-pairs")
+            found = verified(picked, sets, threshold)
+            tried, links, of_class = tried.unionByName(picked), links.unionByName(found), merge(of_class, found)
+            mixed = mixed_runs(mixed.select("tree", "label", "tid"), of_class)
+        if not mixed.isEmpty():
+            of_class = merge(of_class, stragglers(mixed, sets, threshold))
+
+        degree = degrees(texts, of_class, sets, threshold)
+        found = texts.join(of_class, "tid", "left").join(degree, "tid", "left").select("tid", "h1", "h2", "rep", "copies", F.coalesce("class", "tid").alias("class"), F.coalesce("others", F.lit(0)).alias("others"))
+        found = materialise(found, "text-classes")
+        ids = found.groupBy("class").agg(F.min("rep").alias("class_id"))
+        found = materialise(found.join(ids, "class").select("h1", "h2", "class_id", (F.col("others") + F.col("copies") - 1).alias("n_links")), "found", keep=True)
     rows = signed.select("doc_id", "h1", "h2").join(found, ["h1", "h2"]).select("doc_id", "class_id", "n_links")
     nameless = text_columns(docs).where("doc_id IS NULL")
     return rows.unionByName(nameless.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one row of each class: the least doc_id, and of its rows the least text."""
+    """``docs`` with one row of each class: the least doc_id, and of its rows the least text.
+
+    Rows without doc_id stay; all columns pass through, whatever their names.
+    """
     found = classes(docs, **options).where("class_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(found, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").unionByName(docs.where("doc_id IS NULL"))
+    kept = docs.join(found, "doc_id", "left_semi").select(docs.columns)
+    first, n = Window.partitionBy("doc_id").orderBy("text"), fresh(docs.columns, "_n")
+    return kept.withColumn(n, F.row_number().over(first)).where(F.col(n) == 1).drop(n).unionByName(docs.where("doc_id IS NULL"))

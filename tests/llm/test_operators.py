@@ -173,7 +173,7 @@ def test_jaccard_classes(spark, odd, empty):
 
 
 def test_jaccard_links(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_forest, "DEGREE_SHINGLES", 2500)  # several blocks for the large class
+    monkeypatch.setattr(jaccard_forest, "MEET_SHINGLES", 2500)  # several blocks for the large class
     base, other = [f"w{k}" for k in range(200)], [f"v{k}" for k in range(200)]
     rows = [(k, " ".join([*base[: 2 * k], f"edit{k}", *base[2 * k + 1 :]])) for k in range(90)]
     rows += [(200 + k, rows[5 * k][1]) for k in range(9)] + [(300 + k, " ".join([*other[: 50 * k], "x", *other[50 * k + 1 :]])) for k in range(3)]
