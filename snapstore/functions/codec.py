@@ -1,7 +1,7 @@
 """Positional XOR patches between pages: sparse (word index, 64-bit xor), zero words left out.
 
-The Arrow-batched forms are the ones to use; the native forms say the same in SQL
-expressions and serve as a cross-check.
+The Arrow forms take whole batches: pages as one matrix of words, patches as flat lists. The
+native forms say the same in SQL expressions and serve as a cross-check.
 """
 
 from __future__ import annotations
@@ -13,47 +13,142 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import WORDS
+from ..schema import PAGE_SIZE, WORDS
 
 ENTRY = struct.Struct("<HQ")
+ENTRIES = np.dtype([("w", "<u2"), ("x", "<i8")])
 PATCH_TYPE = T.ArrayType(T.StructType([T.StructField("w", T.ShortType()), T.StructField("x", T.LongType())]))
 
 
-@F.pandas_udf(PATCH_TYPE)
+def _valid(*arrays) -> np.ndarray:
+    return np.logical_and.reduce([a.is_valid().to_numpy(zero_copy_only=False) for a in arrays])
+
+
+def _words(pages, at: np.ndarray) -> np.ndarray:
+    """The pages at these places as rows of 512 words."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    found = pages.take(pa.array(at))
+    if len(found) and not pc.all(pc.equal(pc.binary_length(found), PAGE_SIZE)).as_py():
+        raise ValueError(f"pages must have {PAGE_SIZE} bytes")
+    return np.frombuffer(b"".join(found.to_pylist()), "<i8").reshape(len(at), WORDS)
+
+
+def _binary(n: int, at: np.ndarray, lengths: np.ndarray, data: bytes):
+    """A binary array of ``n`` places with values of these lengths at ``at``, null elsewhere."""
+    import pyarrow as pa
+
+    every, null = np.zeros(n, np.int64), np.ones(n, bool)
+    every[at], null[at] = lengths, False
+    offsets = np.concatenate([[0], np.cumsum(every)])
+    whole = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+    return pa.compute.if_else(pa.array(null), pa.scalar(None, pa.large_binary()), whole).cast(pa.binary())
+
+
+def _patches(n: int, at: np.ndarray, counts: np.ndarray, w: np.ndarray, x: np.ndarray):
+    import pyarrow as pa
+
+    every, null = np.zeros(n, np.int32), np.ones(n, bool)
+    every[at], null[at] = counts, False
+    offsets = np.concatenate([[0], np.cumsum(every)]).astype(np.int32)
+    entries = pa.StructArray.from_arrays([pa.array(w.astype(np.int16)), pa.array(x.astype(np.int64))], names=["w", "x"])
+    return pa.ListArray.from_arrays(pa.array(offsets), entries, mask=pa.array(null))
+
+
+def _entries(patches, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word and xor of every entry of the patches at these places."""
+    import pyarrow as pa
+
+    found = patches.take(pa.array(at))
+    flat = found.flatten()
+    w, x = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    if len(w) and (w.min() < 0 or w.max() >= WORDS):
+        raise ValueError("patch word is outside a page")
+    return np.repeat(np.arange(len(at)), found.value_lengths().to_numpy(zero_copy_only=False)), w, x
+
+
+@F.arrow_udf(PATCH_TYPE)
 def xor_patch(base, page):
     """The patch that turns ``base`` into ``page`` (null if either is null)."""
-    out = []
-    for a, b in zip(base, page, strict=True):
-        if a is None or b is None:
-            out.append(None)
-            continue
-        x = np.frombuffer(a, "<i8") ^ np.frombuffer(b, "<i8")
-        at = np.flatnonzero(x)
-        out.append([{"w": int(w), "x": int(v)} for w, v in zip(at, x[at], strict=True)])
-    return type(base)(out, dtype=object)
-
-
-@F.pandas_udf(T.IntegerType())
+    at = np.flatnonzero(_valid(base, page))
+    x = _words(base, at) ^ _words(page, at)
+    row, w = np.nonzero(x)
+    return _patches(len(base), at, np.bincount(row, minlength=len(at)), w, x[row, w])
+
+
+@F.arrow_udf(T.IntegerType())
 def changed_words(base, page):
     """How many of the 512 words differ (null if either is null)."""
-    return type(base)([None if a is None or b is None else int(np.count_nonzero(np.frombuffer(a, "<i8") != np.frombuffer(b, "<i8"))) for a, b in zip(base, page, strict=True)], dtype="Int32")
+    import pyarrow as pa
 
+    ok = _valid(base, page)
+    at, out = np.flatnonzero(ok), np.zeros(len(base), np.int32)
+    out[at] = np.count_nonzero(_words(base, at) != _words(page, at), axis=1)
+    return pa.array(out, mask=~ok)
 
-@F.pandas_udf(T.BinaryType())
+
+@F.arrow_udf(T.BinaryType())
 def apply_patch(base, patch):
-    """``base`` with the patch applied; a word index over 511 is an error."""
-    out = []
-    for a, p in zip(base, patch, strict=True):
-        if a is None or p is None:
-            out.append(None)
-            continue
-        words = np.frombuffer(a, "<i8").copy()
-        for e in p:
-            if not 0 <= e["w"] < WORDS:
-                raise ValueError(f"patch word {e['w']} is outside a page")
-            words[e["w"]] ^= e["x"]
-        out.append(words.tobytes())
-    return type(base)(out, dtype=object)
+    """``base`` with the patch applied (null if either is null); a word index over 511 is an error."""
+    at = np.flatnonzero(_valid(base, patch))
+    words = _words(base, at).copy()
+    row, w, x = _entries(patch, at)
+    np.bitwise_xor.at(words, (row, w), x)
+    return _binary(len(base), at, np.full(len(at), PAGE_SIZE), words.tobytes())
+
+
+@F.arrow_udf(T.BinaryType())
+def encode_patch(patch):
+    """Patches as bytes: 10 an entry, little-endian."""
+    at = np.flatnonzero(_valid(patch))
+    row, w, x = _entries(patch, at)
+    out = np.empty(len(w), ENTRIES)
+    out["w"], out["x"] = w, x
+    return _binary(len(patch), at, np.bincount(row, minlength=len(at)) * ENTRIES.itemsize, out.tobytes())
+
+
+@F.arrow_udf(PATCH_TYPE)
+def decode_patch(blob):
+    """Patches from bytes; a length that is no multiple of 10 and a word over 511 are errors."""
+    import pyarrow as pa
+
+    at = np.flatnonzero(_valid(blob))
+    found = blob.take(pa.array(at)).to_pylist()
+    length = np.array([len(b) for b in found], np.int64)
+    if (length % ENTRIES.itemsize).any():
+        raise ValueError("patch length is no multiple of 10")
+    e = np.frombuffer(b"".join(found), ENTRIES)
+    if len(e) and e["w"].max() >= WORDS:
+        raise ValueError("patch word is outside a page")
+    return _patches(len(blob), at, length // ENTRIES.itemsize, e["w"], e["x"])
+
+
+@F.arrow_udf(T.BinaryType())
+def compress_page(page):
+    """Pages as zstd frames (null: null)."""
+    import pyarrow as pa
+    import zstandard
+
+    c = zstandard.ZstdCompressor(level=1)
+    return pa.array([None if p is None else c.compress(p) for p in page.to_pylist()], pa.binary())
+
+
+@F.arrow_udf(T.BinaryType())
+def decompress_page(blob):
+    """Pages from zstd frames; one that does not inflate to a page is an error."""
+    import pyarrow as pa
+
+    return pa.array([None if b is None else inflated(b) for b in blob.to_pylist()], pa.binary())
+
+
+def inflated(blob: bytes) -> bytes:
+    import zstandard
+
+    page = zstandard.ZstdDecompressor().decompress(blob, max_output_size=PAGE_SIZE)
+    if len(page) != PAGE_SIZE:
+        raise ValueError("full page of wrong size")
+    return page
 
 
 def patch_bytes(patch: list[tuple[int, int]]) -> bytes:

@@ -36,6 +36,11 @@ def check_snapshot(snapshot_id: int) -> int:
     return snapshot_id
 
 
+def snapshot_in_range(snapshot_id: str) -> Column:
+    """Whether an id fits its 19 bits (false for null)."""
+    return F.coalesce(F.col(snapshot_id).between(0, MAX_SNAPSHOT), F.lit(False))
+
+
 def checked_pa(pa: str) -> Column:
     """The address, or an error in the plan where it does not fit 45 bits."""
     return F.when(F.col(pa).between(0, MAX_PA), F.col(pa)).otherwise(F.raise_error(F.lit("page address outside 45 bits")).cast("bigint"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DELTA, FULL, PAGE_SIZE, ZERO
 
+WORDS_IN_GROUP, MAX_DIRTY = 64, (1 << 32) - 1
+
 
 def zero_page() -> Column:
     return F.repeat(F.lit("\0"), F.lit(PAGE_SIZE)).cast("binary")
@@ -40,10 +44,37 @@ def bitmap_pages(df: DataFrame, words: str, page_count: int | None = None) -> Da
     return d if page_count is None else d.where(F.col("pa") < page_count)
 
 
+def word_pages(words: DataFrame) -> DataFrame:
+    """(w, pa): the set bits of a bitmap's words (w, word), each word a row."""
+    d = words.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(63)))).where(F.expr("bit_get(word, _b)") == 1)
+    return d.select("w", (F.col("w").cast("bigint") * 64 + F.col("_b")).alias("pa"))
+
+
+def masked_words(words: DataFrame, page_count: int) -> DataFrame:
+    """The words (w, word) of a bitmap without the bits at or past ``page_count``."""
+    left = F.lit(page_count).cast("bigint") - F.col("w") * 64
+    low = F.expr("shiftleft(1L, CAST(_left AS INT))") - 1
+    d = words.withColumn("_left", left)
+    masked = F.when(F.col("_left") >= 64, F.col("word")).when(F.col("_left") > 0, F.col("word").bitwiseAND(low)).otherwise(F.lit(0).cast("bigint"))
+    return d.withColumn("word", masked).drop("_left")
+
+
 def dirty_count(words: str) -> Column:
     return F.aggregate(F.col(words), F.lit(0).cast("bigint"), lambda s, w: s + F.bit_count(w))
 
 
+def group_counts(words: DataFrame) -> DataFrame:
+    """(group, dirty): set bits by group of 4,096 pages, from rows (w, word) of a bitmap's words."""
+    return words.groupBy(F.floor(F.col("w") / WORDS_IN_GROUP).alias("group")).agg(F.sum(F.bit_count("word")).cast("bigint").alias("dirty"))
+
+
+def dirty_total(words: DataFrame) -> DataFrame:
+    """One row (total): all set bits of a bitmap; over 32 bits are an error."""
+    d = words.agg(F.coalesce(F.sum(F.bit_count("word")), F.lit(0)).cast("bigint").alias("total"))
+    over = F.raise_error(F.lit("more dirty pages than 32 bits count")).cast("bigint")
+    return d.select(F.when(F.col("total") <= MAX_DIRTY, F.col("total")).otherwise(over).alias("total"))
+
+
 def kind_name(kind: str) -> Column:
     k = F.col(kind)
     bad = F.raise_error(F.concat(F.lit("unknown chunk kind "), k.cast("string"))).cast("string")
@@ -84,14 +115,14 @@ def hex_rows(df: DataFrame, binary: str) -> DataFrame:
 
 
 def parse_filter(text: str) -> tuple[int | None, int | None]:
-    """(snapshot id, page address): decimal words are snapshots, ``0x`` words addresses; the last wins."""
+    """(snapshot id, page address): decimal words are snapshots, ``0x`` words addresses; the last wins.
+
+    Words of other characters than plain digits, and numbers over 32 or 64 bits, are passed over.
+    """
     snapshot = pa = None
     for word in text.split():
-        try:
-            if word.lower().startswith("0x"):
-                pa = int(word, 16)
-            else:
-                snapshot = int(word)
-        except ValueError:
-            continue
+        if re.fullmatch(r"0[xX][0-9a-fA-F]+", word):
+            pa = int(word, 16) if int(word, 16) < 1 << 64 else pa
+        elif re.fullmatch(r"[0-9]+", word):
+            snapshot = int(word) if int(word) < 1 << 32 else snapshot
     return snapshot, pa

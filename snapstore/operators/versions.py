@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import snapshot_in_range
+from ..schema import FULL
+from .ranges import with_last_before
+
 KEY = ("pa", "snapshot_id")
 
 
@@ -63,19 +67,38 @@ def validity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("valid_to", F.lead("snapshot_id").over(Window.partitionBy("pa").orderBy("snapshot_id")))
 
 
-def order_violations(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows whose snapshot falls, or whose address falls within a snapshot, in arrival order.
+def current_bases(rows: DataFrame) -> DataFrame:
+    """Each version with ``current_base``, the newest full one up to it (null: none yet)."""
+    w = Window.partitionBy("pa").orderBy("snapshot_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("current_base", F.last(F.when(F.col("kind") == FULL, F.col("snapshot_id")), ignorenulls=True).over(w))
+
+
+def first_versions(rows: DataFrame) -> DataFrame:
+    """The first version of each address."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("pa").orderBy("snapshot_id"))).where("_n = 1").drop("_n")
+
+
+def dirty_pages(pages: DataFrame, dirty: DataFrame) -> DataFrame:
+    """Pages whose address is in ``dirty``."""
+    return pages.join(dirty.select("pa"), "pa", "left_semi")
+
 
-    Only rows next to each other matter: ranges of the order are sorted by themselves and
-    the row before each range's first comes from a table of one row per range.
+def order_violations(rows: DataFrame, order: str) -> DataFrame:
+    """Rows whose snapshot falls, or whose address falls within a snapshot, in arrival order (a number).
+
+    Only rows next to each other matter; see ``ranges`` for how the row before is found.
     """
-    d = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(*order)
-    d = d.withColumns({"_s": F.lag("snapshot_id").over(w), "_a": F.lag("pa").over(w), "_n": F.row_number().over(w)})
-    ends = d.groupBy("_part").agg(F.max_by(F.struct("snapshot_id", "pa"), F.struct(*order)).alias("e"))
-    last = ends.select("_part", F.lag("e").over(Window.orderBy("_part")).alias("_e"))
-    d = d.join(F.broadcast(last), "_part")
-    before_s = F.when(F.col("_n") == 1, F.col("_e.snapshot_id")).otherwise(F.col("_s"))
-    before_a = F.when(F.col("_n") == 1, F.col("_e.pa")).otherwise(F.col("_a"))
-    bad = (before_s > F.col("snapshot_id")) | ((before_s == F.col("snapshot_id")) & (before_a > F.col("pa")))
+    d = with_last_before(rows, F.col(order), F.struct("snapshot_id", "pa"), F.last, order)
+    s, a = F.col("_before.snapshot_id"), F.col("_before.pa")
+    bad = (s > F.col("snapshot_id")) | ((s == F.col("snapshot_id")) & (a > F.col("pa")))
     return d.where(bad).select(*rows.columns)
+
+
+def accepted_saves(attempts: DataFrame, order: str) -> DataFrame:
+    """Attempts to save, with ``accepted``: the id is in range and above all accepted before it.
+
+    Ids out of range never count; of the others the accepted are those above the greatest before.
+    """
+    valid = snapshot_in_range("snapshot_id")
+    d = with_last_before(attempts, F.col(order), F.when(valid, F.col("snapshot_id")), F.max, order)
+    return d.withColumn("accepted", F.coalesce(valid & (F.col("_before").isNull() | (F.col("snapshot_id") > F.col("_before"))), F.lit(False))).drop("_before")

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import keys, pages
-from ..functions.codec import apply_patch, changed_words, xor_patch
+from ..functions.codec import apply_patch, changed_words, compress_page, decode_patch, decompress_page, encode_patch, xor_patch
 from ..operators import maintain, versions
 from ..operators.encode import encode_batch, encode_history, latest_full, resolve, with_bases
+from ..operators.ranges import with_places, with_sums_before
 from ..schema import DELTA, FULL, ZERO
 from ..sources.raw_export import export_plan
+from ..sources.raw_export import ordered_dirty_set as export_dirty_set
 from .views import CONV_SQL, DOCPAGES_SQL, EVENTS_SQL, ORDERS_SQL, VERSIONS_SQL, table, v_conv, v_docpages, v_events, v_orders, v_versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,10 +69,10 @@ def floor_point(spark, sf_dir):
     return d.select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), "seq", "o_totalprice")
 
 
-@query(f"SELECT o.pa, o.snapshot_id, o.seq FROM ({FIRST_ORDERS}) o JOIN (SELECT DISTINCT pa, snapshot_id FROM ({ORDERS_SQL}) WHERE seq % 3 = 0) k USING (pa, snapshot_id)")
+@query(f"SELECT o.pa, o.snapshot_id, o.seq FROM ({FIRST_ORDERS}) o JOIN (SELECT DISTINCT pa, snapshot_id FROM ({ORDERS_SQL})) k USING (pa, snapshot_id)")
 def exact_lookup(spark, sf_dir):
     o = v_orders(spark, sf_dir)
-    d = versions.exact(versions.first_writes(o, "seq"), o.where("seq % 3 = 0").select("pa", "snapshot_id").distinct())
+    d = versions.exact(versions.first_writes(o, "seq"), o.select("pa", "snapshot_id").distinct())
     return d.select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), "seq")
 
 
@@ -107,26 +109,41 @@ def key_pack_unpack(spark, sf_dir):
     return d.select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), "key", keys.key_pa("key").alias("pa_back"), keys.key_snapshot("key").cast("bigint").alias("snapshot_back"))
 
 
-WORDS_SQL = "SELECT o_custkey // 64 w, bit_or((1::BIGINT << (o_custkey % 64 % 63)::INT)) word FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1"
+DIRTY_SQL = "SELECT DISTINCT o_custkey // 64 w, o_custkey pa FROM orders WHERE o_custkey IS NOT NULL"
+
+
+def dirty_words(spark, sf_dir):
+    """(w, word): a bitmap of the customers with orders, each word a row."""
+    bit = F.expr("shiftleft(1L, CAST(o_custkey % 64 AS INT))")
+    o = table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL")
+    return o.groupBy(F.floor(F.col("o_custkey") / 64).alias("w")).agg(F.bit_or(bit).alias("word"))
 
 
-@query(f"SELECT w, w * 64 + b pa FROM ({WORDS_SQL}), (SELECT unnest(range(64)) b) WHERE b < 63 AND (word >> b::INT) & 1 = 1 AND w * 64 + b < 1000")
+@query(DIRTY_SQL)
 def bitmap_expand(spark, sf_dir):
-    d = dirty_words(spark, sf_dir).select("w", F.array("word").alias("words"))
-    d = pages.bitmap_pages(d, "words").select("w", (F.col("w") * 64 + F.col("pa")).alias("pa"))
-    return d.where("pa < 1000")
+    return pages.word_pages(dirty_words(spark, sf_dir))
 
 
-def dirty_words(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0")
-    bit = F.expr("shiftleft(1L, CAST(o_custkey % 64 % 63 AS INT))")
-    return o.groupBy(F.floor(F.col("o_custkey") / 64).alias("w")).agg(F.bit_or(bit).alias("word"))
+@query(f"SELECT w, pa FROM ({DIRTY_SQL}) WHERE pa < (SELECT max(o_custkey) - 10 FROM orders)")
+def bitmap_mask(spark, sf_dir):
+    top = table(spark, sf_dir, "orders").agg(F.max("o_custkey")).first()[0] or 0
+    return pages.word_pages(pages.masked_words(dirty_words(spark, sf_dir), top - 10))
 
 
-@query(f"SELECT w, bit_count(word)::BIGINT dirty, (sum(bit_count(word)) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT slots_before FROM ({WORDS_SQL})")
+@query(f"SELECT w, dirty, coalesce(sum(dirty) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT slots_before FROM (SELECT w, count(*) dirty FROM ({DIRTY_SQL}) GROUP BY 1)")
 def bitmap_popcount(spark, sf_dir):
     d = dirty_words(spark, sf_dir).withColumn("words", F.array("word")).select("w", pages.dirty_count("words").alias("dirty"))
-    return d.withColumn("slots_before", F.sum("dirty").over(versions.Window.orderBy("w").rowsBetween(versions.Window.unboundedPreceding, -1)))
+    return with_sums_before(d, F.col("w"), "dirty", "w", name="slots_before")
+
+
+@query(f'SELECT pa // 4096 "group", count(*) dirty FROM ({DIRTY_SQL}) GROUP BY 1')
+def group_popcount(spark, sf_dir):
+    return pages.group_counts(dirty_words(spark, sf_dir))
+
+
+@query(f"SELECT count(*) total FROM ({DIRTY_SQL})")
+def dirty_total(spark, sf_dir):
+    return pages.dirty_total(dirty_words(spark, sf_dir))
 
 
 @query("SELECT o_custkey % 7 worker_id, count(*) records, max(o_orderkey) last_seq FROM orders GROUP BY 1")
@@ -218,8 +235,7 @@ def delta_base_join(spark, sf_dir):
 def orphan_deltas(spark, sf_dir):
     c = chunk_rows(spark, sf_dir)
     holed = c.where((F.col("kind") == DELTA) | (F.col("pa") % 11 != 0))  # full pages of some addresses are lost
-    full = holed.where(F.col("kind") == FULL).select("pa", F.col("snapshot_id").alias("base_snapshot"))
-    return holed.where(F.col("kind") == DELTA).join(full, ["pa", "base_snapshot"], "left_anti").select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"))
+    return maintain.orphan_deltas(holed).select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"))
 
 
 @query(f"SELECT pa, snapshot_id::BIGINT snapshot_id, md5(h) page_md5 FROM ({VERSIONS_SQL})")
@@ -228,12 +244,19 @@ def resolve_all_versions(spark, sf_dir):
     return resolve(c, c).select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), F.md5(F.hex("page").cast("binary")).alias("page_md5"))
 
 
-@query(f"""SELECT r.pa, md5(coalesce(f.h, repeat('0', 8192))) page_md5, f.pa IS NOT NULL AS found FROM (SELECT unnest(range(0, 4096)) pa) r
-LEFT JOIN (SELECT pa, arg_max(h, snapshot_id) h FROM ({VERSIONS_SQL}) WHERE snapshot_id <= 25 GROUP BY pa) f USING (pa)""")
+LOAD_RANGE_SQL = f"""SELECT r.pa, md5(coalesce(f.h, repeat('0', 8192))) page_md5, f.pa IS NOT NULL AS found FROM (SELECT unnest(range(0, (SELECT max(pa) + 1 FROM ({DOCPAGES_SQL})))) pa) r
+LEFT JOIN (SELECT pa, arg_max(h, snapshot_id) h FROM ({VERSIONS_SQL}) WHERE snapshot_id <= 25 GROUP BY pa) f USING (pa)"""
+
+
+def page_count(spark, sf_dir):
+    last = v_docpages(spark, sf_dir).agg(F.max("pa")).first()[0]
+    return 0 if last is None else last + 1
+
+
+@query(LOAD_RANGE_SQL)
 def load_range_as_of(spark, sf_dir):
-    c = chunk_rows(spark, sf_dir).where("pa < 4096")
-    won = versions.floor_at(c, 25)
-    d = versions.dense(resolve(won, c).select("pa", "page"), 0, 4096, page=pages.zero_page())
+    c = chunk_rows(spark, sf_dir)
+    d = versions.dense(resolve(versions.floor_at(c, 25), c).select("pa", "page"), 0, page_count(spark, sf_dir), page=pages.zero_page())
     return d.select("pa", F.md5(F.hex("page").cast("binary")).alias("page_md5"), "found")
 
 
@@ -250,32 +273,14 @@ def purge_summary(spark, sf_dir):
 
 @query(f"SELECT pa, snapshot_id, row_number() OVER (ORDER BY pa, snapshot_id) - 1 AS place FROM ({FIRST_ORDERS})")
 def convert_index_order(spark, sf_dir):
-    return place_in(maintain.index_order(v_orders(spark, sf_dir)), "pa", "snapshot_id")
+    d = with_places(versions.first_writes(v_orders(spark, sf_dir), "seq"), F.col("pa").cast("double") * float(1 << 19) + F.col("snapshot_id"), "pa", "snapshot_id")
+    return d.select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), "place")
 
 
 @query(f"SELECT pa, snapshot_id, row_number() OVER (ORDER BY snapshot_id, pa) - 1 AS place FROM ({FIRST_ORDERS})")
 def convert_log_order(spark, sf_dir):
-    return place_in(maintain.log_order(versions.first_writes(v_orders(spark, sf_dir), "seq")), "snapshot_id", "pa")
-
-
-def place_in(ordered: DataFrame, *order: str) -> DataFrame:
-    """Each row's place in the whole order: its place in its range, after the ranges before."""
-    d = ordered.withColumn("_p", F.spark_partition_id())
-    w = versions.Window.partitionBy("_p").orderBy(*order)
-    d = d.withColumn("_n", F.row_number().over(w) - 1)
-    sizes = d.groupBy("_p").agg(F.count("*").alias("c"))
-    before = sizes.select("_p", F.coalesce(F.sum("c").over(versions.Window.orderBy("_p").rowsBetween(versions.Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
-    d = d.join(F.broadcast(before), "_p")  # one row per range
-    return d.select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), (F.col("b") + F.col("_n")).alias("place"))
-
-
-@query(f"""WITH c AS MATERIALIZED ({fold_sql(64)}) SELECT pa, snapshot_id, error FROM (SELECT pa, snapshot_id, 'base is missing' error FROM c WHERE kind = 1 AND pa % 11 = 0
-UNION ALL SELECT pa, snapshot_id, 'full page of wrong size' FROM c WHERE kind = 0 AND pa % 13 = 0 AND pa % 11 <> 0)""")
-def check_report(spark, sf_dir):
-    c = chunk_rows(spark, sf_dir)
-    holed = c.where((F.col("kind") == DELTA) | (F.col("kind") == ZERO) | (F.col("pa") % 11 != 0))
-    cut = F.when((F.col("kind") == FULL) & (F.col("pa") % 13 == 0), F.substring("page", 1, 100)).otherwise(F.col("page"))
-    return maintain.integrity_errors(holed.withColumn("page", cut)).withColumn("snapshot_id", F.col("snapshot_id").cast("bigint"))
+    d = with_places(versions.first_writes(v_orders(spark, sf_dir), "seq"), F.col("snapshot_id").cast("double") * float(1 << 45) + F.col("pa"), "snapshot_id", "pa")
+    return d.select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), "place")
 
 
 @query(f"""WITH r AS MATERIALIZED ({fold_sql(64)}), k AS MATERIALIZED (SELECT kind, count(*) records, sum(CASE kind WHEN 0 THEN 4096 WHEN 1 THEN 10 * words ELSE 0 END)::BIGINT payload_bytes, sum(CASE WHEN kind = 1 THEN 30 ELSE 22 END)::BIGINT log_bytes FROM r GROUP BY kind),
@@ -309,18 +314,15 @@ def raw_export_plan(spark, sf_dir):
     return export_plan(v_versions(spark, sf_dir))
 
 
-@query(f"SELECT pa, md5(h) page_md5 FROM ({DOCPAGES_SQL}) WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey * 64 = pa AND o_orderkey % 4 = 0)")
+@query(f"SELECT pa, md5(h) page_md5 FROM ({DOCPAGES_SQL}) WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey * 64 = pa)")
 def semi_dirty_pages(spark, sf_dir):
-    dirty = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select((F.col("o_custkey") * 64).alias("pa"))
-    return v_docpages(spark, sf_dir).join(dirty, "pa", "left_semi").select("pa", F.md5(F.hex("page").cast("binary")).alias("page_md5"))
+    dirty = table(spark, sf_dir, "orders").select((F.col("o_custkey") * 64).alias("pa"))
+    return versions.dirty_pages(v_docpages(spark, sf_dir), dirty).select("pa", F.md5(F.hex("page").cast("binary")).alias("page_md5"))
 
 
 @query(f"SELECT worker_id, max(\"offset\" + len)::BIGINT file_size, count(*) records FROM (SELECT pa % 5 worker_id, CASE kind WHEN 0 THEN 4096 ELSE 10 * words END len, coalesce(sum(CASE kind WHEN 0 THEN 4096 ELSE 10 * words END) OVER (PARTITION BY pa % 5 ORDER BY snapshot_id, pa ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS \"offset\" FROM ({fold_sql(64)}) WHERE kind <> 2) GROUP BY 1")
 def worker_file_sizes(spark, sf_dir):
-    c = chunk_rows(spark, sf_dir).where(F.col("kind") != ZERO)
-    d = c.select(keys.worker_of("pa", 5).cast("bigint").alias("worker_id"), maintain.payload_size().alias("len"), F.struct("snapshot_id", "pa").alias("seq"))
-    d = maintain.blob_offsets(d)
-    return d.groupBy("worker_id").agg(F.max(F.col("offset") + F.col("len")).alias("file_size"), F.count("*").alias("records"))
+    return maintain.worker_file_sizes(chunk_rows(spark, sf_dir), 5).withColumn("worker_id", F.col("worker_id").cast("bigint"))
 
 
 @query("SELECT n, CASE WHEN n >= 1073741824 THEN printf('%.2f GiB', n / 1073741824.0) WHEN n >= 1048576 THEN printf('%.2f MiB', n / 1048576.0) WHEN n >= 1024 THEN printf('%.2f KiB', n / 1024.0) ELSE n || ' B' END human FROM (SELECT o_orderkey * o_orderkey * 7 n FROM orders)")
@@ -329,53 +331,117 @@ def human_sizes(spark, sf_dir):
     return d.select("n", pages.human_bytes("n").alias("human"))
 
 
-@query(f"SELECT pa, i * 16 AS \"offset\", substr(h, i * 32 + 1, 32) hex FROM ({DOCPAGES_SQL}), (SELECT unnest(range(256)) i) WHERE pa < 640")
-def hex_dump(spark, sf_dir):
-    d = pages.hex_rows(v_docpages(spark, sf_dir).where("pa < 640"), "page")
-    return d.select("pa", F.col("offset").cast("bigint").alias("offset"), "hex")
+ASCII_SQL = "array_to_string(list_transform(range(16), lambda k: CASE WHEN ('0x' || substr(h, i * 32 + 2 * k + 1, 2))::INT BETWEEN 32 AND 126 THEN chr(('0x' || substr(h, i * 32 + 2 * k + 1, 2))::INT) ELSE '.' END), '')"
 
 
-@query(f"SELECT pa, i * 16 AS \"offset\", substr(h, i * 32 + 1, 32) hex FROM ({DOCPAGES_SQL}), (SELECT unnest(range(256)) i)")
-def hex_dump_all(spark, sf_dir):
+@query(f"SELECT pa, i * 16 AS \"offset\", substr(h, i * 32 + 1, 32) hex, {ASCII_SQL} ascii FROM ({DOCPAGES_SQL}), (SELECT unnest(range(256)) i)")
+def hex_dump(spark, sf_dir):
     d = pages.hex_rows(v_docpages(spark, sf_dir), "page")
-    return d.select("pa", F.col("offset").cast("bigint").alias("offset"), "hex")
+    return d.select("pa", F.col("offset").cast("bigint").alias("offset"), "hex", "ascii")
 
 
-def all_dirty_words(spark, sf_dir):
-    bit = F.expr("shiftleft(1L, CAST(o_custkey % 64 AS INT))")
-    o = table(spark, sf_dir, "orders").where("o_custkey IS NOT NULL")
-    return o.groupBy(F.floor(F.col("o_custkey") / 64).alias("w")).agg(F.bit_or(bit).alias("word"))
+def long_snapshot(d):
+    return d.withColumn("snapshot_id", F.col("snapshot_id").cast("bigint"))
 
 
-@query("SELECT DISTINCT o_custkey // 64 w, o_custkey pa FROM orders WHERE o_custkey IS NOT NULL")
-def bitmap_expand_all(spark, sf_dir):
-    d = all_dirty_words(spark, sf_dir).select("w", F.array("word").alias("words"))
-    return pages.bitmap_pages(d, "words").select("w", (F.col("w") * 64 + F.col("pa")).alias("pa"))
+@query(f"SELECT pa, md5(string_agg(printf('%02X%02X', w % 256, w // 256) || x, '' ORDER BY w)) patch_md5 FROM (SELECT pa, w, printf('%08X%08X', xor(('0x' || wa[1:8])::UBIGINT, ('0x' || wb[1:8])::UBIGINT), xor(('0x' || wa[9:16])::UBIGINT, ('0x' || wb[9:16])::UBIGINT)) x FROM {PAIR_WORDS_SQL} WHERE wa <> wb) GROUP BY pa")
+def patch_bytes(spark, sf_dir):
+    d = page_pairs(spark, sf_dir).select("pa", encode_patch(xor_patch("base", "page")).alias("bytes")).where(F.octet_length("bytes") > 0)
+    return d.select("pa", F.md5(F.hex("bytes").cast("binary")).alias("patch_md5"))
 
 
-@query("SELECT w, dirty, (sum(dirty) OVER (ORDER BY w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::BIGINT slots_before FROM (SELECT o_custkey // 64 w, count(DISTINCT o_custkey) dirty FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1)")
-def bitmap_popcount_all(spark, sf_dir):
-    d = all_dirty_words(spark, sf_dir).withColumn("words", F.array("word")).select("w", pages.dirty_count("words").alias("dirty"))
-    return d.withColumn("slots_before", F.sum("dirty").over(versions.Window.orderBy("w").rowsBetween(versions.Window.unboundedPreceding, -1)))
+@query(f"SELECT pa, md5(hb) page_md5 FROM {PAIRS_SQL}")
+def patch_bytes_roundtrip(spark, sf_dir):
+    d = page_pairs(spark, sf_dir).select("pa", "base", encode_patch(xor_patch("base", "page")).alias("bytes"))
+    return d.select("pa", F.md5(F.hex(apply_patch("base", decode_patch("bytes"))).cast("binary")).alias("page_md5"))
 
 
-@query(f"SELECT o.pa, o.snapshot_id, o.seq FROM ({FIRST_ORDERS}) o JOIN (SELECT DISTINCT pa, snapshot_id FROM ({ORDERS_SQL})) k USING (pa, snapshot_id)")
-def exact_lookup_all(spark, sf_dir):
-    o = v_orders(spark, sf_dir)
-    d = versions.exact(versions.first_writes(o, "seq"), o.select("pa", "snapshot_id").distinct())
-    return d.select("pa", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), "seq")
+@query(f"SELECT pa, md5(h) page_md5 FROM ({DOCPAGES_SQL})")
+def compress_roundtrip(spark, sf_dir):
+    d = v_docpages(spark, sf_dir).select("pa", compress_page("page").alias("blob"))
+    return d.select("pa", F.md5(F.hex(decompress_page("blob")).cast("binary")).alias("page_md5"))
 
 
-@query(f"SELECT pa, md5(h) page_md5 FROM ({DOCPAGES_SQL}) WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey * 64 = pa)")
-def semi_dirty_pages_all(spark, sf_dir):
-    dirty = table(spark, sf_dir, "orders").select((F.col("o_custkey") * 64).alias("pa"))
-    return v_docpages(spark, sf_dir).join(dirty, "pa", "left_semi").select("pa", F.md5(F.hex("page").cast("binary")).alias("page_md5"))
+@query(f"SELECT pa, snapshot_id, CASE kind WHEN 0 THEN 'full' WHEN 1 THEN 'delta' ELSE 'zero' END kind_name FROM ({fold_sql(64)})")
+def kind_names(spark, sf_dir):
+    return long_snapshot(chunk_rows(spark, sf_dir).select("pa", "snapshot_id", pages.kind_name("kind").alias("kind_name")))
+
+
+@query(f"SELECT pa, snapshot_id, last_value(CASE WHEN kind = 0 THEN snapshot_id END IGNORE NULLS) OVER (PARTITION BY pa ORDER BY snapshot_id)::BIGINT current_base FROM ({fold_sql(64)})")
+def current_bases(spark, sf_dir):
+    d = versions.current_bases(chunk_rows(spark, sf_dir).select("pa", "snapshot_id", "kind"))
+    return long_snapshot(d.select("pa", "snapshot_id", F.col("current_base").cast("bigint").alias("current_base")))
+
+
+@query(f"SELECT pa, snapshot_id, kind FROM ({fold_sql(64)}) QUALIFY row_number() OVER (PARTITION BY pa ORDER BY snapshot_id) = 1")
+def first_versions(spark, sf_dir):
+    d = versions.first_versions(chunk_rows(spark, sf_dir).select("pa", "snapshot_id", F.col("kind").cast("int").alias("kind")))
+    return long_snapshot(d)
 
 
-@query(f"""SELECT r.pa, md5(coalesce(f.h, repeat('0', 8192))) page_md5, f.pa IS NOT NULL AS found FROM (SELECT unnest(range(0, (SELECT max(pa) + 1 FROM ({DOCPAGES_SQL})))) pa) r
-LEFT JOIN (SELECT pa, arg_max(h, snapshot_id) h FROM ({VERSIONS_SQL}) WHERE snapshot_id <= 25 GROUP BY pa) f USING (pa)""")
-def load_range_as_of_all(spark, sf_dir):
+@query(f"SELECT snapshot_id, pa, row_number() OVER (PARTITION BY snapshot_id ORDER BY pa) - 1 AS place FROM ({VERSIONS_SQL})")
+def ordered_dirty_set(spark, sf_dir):
+    return long_snapshot(export_dirty_set(v_versions(spark, sf_dir).select("pa", "snapshot_id")))
+
+
+ATTEMPTS_SQL = "SELECT o_orderkey seq, (o_orderkey * 7919) % 600000 snapshot_id FROM orders"
+
+
+@query(f"SELECT seq, snapshot_id, coalesce(snapshot_id <= 524287 AND snapshot_id > coalesce(max(CASE WHEN snapshot_id <= 524287 THEN snapshot_id END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1), false) accepted FROM ({ATTEMPTS_SQL})")
+def accepted_saves(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), ((F.col("o_orderkey") * 7919) % 600000).alias("snapshot_id"))
+    return versions.accepted_saves(d, "seq")
+
+
+@query(f"SELECT seq, snapshot_id <= 524287 AS in_range FROM ({ATTEMPTS_SQL})")
+def snapshot_ranges(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), ((F.col("o_orderkey") * 7919) % 600000).alias("snapshot_id"))
+    return d.select("seq", keys.snapshot_in_range("snapshot_id").alias("in_range"))
+
+
+def damaged(spark, sf_dir):
+    """Chunks without the full pages of some addresses, and with others cut."""
     c = chunk_rows(spark, sf_dir)
-    last = v_docpages(spark, sf_dir).agg(F.max("pa")).first()[0]
-    d = versions.dense(resolve(versions.floor_at(c, 25), c).select("pa", "page"), 0, 0 if last is None else last + 1, page=pages.zero_page())
-    return d.select("pa", F.md5(F.hex("page").cast("binary")).alias("page_md5"), "found")
+    holed = c.where((F.col("kind") == DELTA) | (F.col("kind") == ZERO) | (F.col("pa") % 11 != 0))
+    cut = F.when((F.col("kind") == FULL) & (F.col("pa") % 13 == 0), F.substring("page", 1, 100)).otherwise(F.col("page"))
+    return holed.withColumn("page", cut)
+
+
+DAMAGED_SQL = "SELECT pa, snapshot_id, 'base is missing' error FROM c WHERE kind = 1 AND pa % 11 = 0 UNION ALL SELECT pa, snapshot_id, 'full page of wrong size' FROM c WHERE kind = 0 AND pa % 13 = 0 AND pa % 11 <> 0"
+
+
+@query(f"WITH c AS MATERIALIZED ({fold_sql(64)}) {DAMAGED_SQL}")
+def check_report(spark, sf_dir):
+    return long_snapshot(maintain.integrity_errors(damaged(spark, sf_dir)))
+
+
+@query(f"""WITH c AS MATERIALIZED ({fold_sql(64)}), e AS ({DAMAGED_SQL}), o AS (SELECT *, row_number() OVER (ORDER BY pa, snapshot_id, error) n FROM e)
+SELECT n::INT place, 'page ' || pa || ' snapshot ' || snapshot_id || ': ' || error line FROM o WHERE n <= 50
+UNION ALL SELECT 51, 'and ' || (count(*) - 50) || ' more' FROM e HAVING count(*) > 50""")
+def error_lines(spark, sf_dir):
+    return maintain.error_lines(maintain.integrity_errors(damaged(spark, sf_dir)))
+
+
+@query(f"""WITH c AS MATERIALIZED ({fold_sql(64)}), e AS ({DAMAGED_SQL}), k AS (SELECT * FROM c WHERE kind <> 0 OR pa % 11 <> 0)
+SELECT count(*) total, count(*) FILTER (kind = 0) full_count, count(*) FILTER (kind = 1) delta_count, count(*) FILTER (kind = 2) zero_count, (SELECT count(*) FROM e) errors FROM k""")
+def integrity_report(spark, sf_dir):
+    return maintain.integrity_report(damaged(spark, sf_dir))
+
+
+@query(f"""WITH c AS (SELECT pa, snapshot_id, kind, row_number() OVER (ORDER BY pa, snapshot_id) - 1 place FROM ({fold_sql(64)})), n AS (SELECT count(*) n FROM c),
+s AS (SELECT least(least(400, n - 1) - 20, greatest(0, n - 40)) start FROM n) SELECT pa, snapshot_id, kind, place::INT place FROM c, s WHERE place >= start AND place < start + 40""")
+def viewport(spark, sf_dir):
+    d = chunk_rows(spark, sf_dir).select("pa", "snapshot_id", F.col("kind").cast("int").alias("kind"))
+    return long_snapshot(maintain.viewport(d, 400, 40, "pa", "snapshot_id"))
+
+
+@query(f"""SELECT pa, snapshot_id, printf('0x%016x', (pa << 19) | snapshot_id) key_hex, printf('0x%011x', pa) pa_hex, CASE kind WHEN 0 THEN 'full' WHEN 1 THEN 'delta' ELSE 'zero' END kind_name,
+CASE WHEN kind <> 2 THEN 'worker_' || pa % 5 || '.blob' END blob, CASE WHEN kind = 1 THEN printf('0x%016x', (pa << 19) | base_snapshot) END base_key_hex, CASE WHEN kind = 1 THEN words::INT END patch_entries, CASE WHEN kind = 0 THEN 4096 END page_bytes FROM ({fold_sql(64)})""")
+def record_details(spark, sf_dir):
+    return long_snapshot(maintain.record_details(chunk_rows(spark, sf_dir), 5))
+
+
+@query(f"""SELECT pa, w word, printf('0x%016x', xor(('0x' || {SWAP('wa')})::UBIGINT, ('0x' || {SWAP('wb')})::UBIGINT)) xor, w * 8 first_byte, w * 8 + 8 end_byte FROM {PAIR_WORDS_SQL} WHERE wa <> wb""")
+def patch_rows(spark, sf_dir):
+    d = page_pairs(spark, sf_dir).select("pa", F.lit(20).alias("snapshot_id"), F.lit(DELTA).alias("kind"), xor_patch("base", "page").alias("patch"))
+    return maintain.patch_rows(d).drop("snapshot_id")

@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from snapstore.plans import store_queries  # noqa: F401  registers its queries
 from snapstore.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"

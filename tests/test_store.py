@@ -190,9 +190,9 @@ def test_raw_files(spark, tmp_path):
     rows = [(0, 0, p[0]), (1, 0, ZEROS), (2, 0, p[2]), (1, 4, ZEROS), (2, 4, p[1])]
     d = spark.createDataFrame([(a, s, bytearray(v)) for a, s, v in rows], "pa bigint, snapshot_id int, page binary")
     folder = str(tmp_path / "raw")
-    assert sorted(map(tuple, raw_export.write_raw(d, folder).collect())) == [(0, 2), (4, 2)]
-    assert raw_export.read_raw(f"{folder}/raw-0") == [(0, p[0]), (2, p[2])]
-    assert raw_export.read_raw(f"{folder}/raw-4") == [(1, ZEROS), (2, p[1])]
+    assert sorted(map(tuple, raw_export.write_raw(d, folder).collect())) == [(0, 2), (4, 2)] and raw_export.chain_top(folder) == 4
+    assert raw_export.read_raw(f"{folder}/0") == [(0, p[0]), (2, p[2])]
+    assert raw_export.read_raw(f"{folder}/4") == [(1, ZEROS), (2, p[1])]
 
 
 def test_record_files(spark, tmp_path):
@@ -233,6 +233,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_helpers(spark):
     assert pages.parse_filter("12 0x1F junk 7") == (7, 31)
+    assert pages.parse_filter("-5 +7 1_000 ٣ 0x 99999999999 0xg") == (None, None)
     d = spark.createDataFrame([(0,), (1023,), (1536,), (5 << 20,), (3 << 30,)], "n bigint").select(pages.human_bytes("n").alias("h"))
     assert [r["h"] for r in d.collect()] == ["0 B", "1023 B", "1.50 KiB", "5.00 MiB", "3.00 GiB"]
     d = pages.hex_rows(spark.createDataFrame([(bytearray(b"A\x00z" * 6),)], "b binary"), "b").orderBy("offset").collect()
