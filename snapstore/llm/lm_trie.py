@@ -6,25 +6,30 @@ documents. The model interpolates bigrams with unigrams by absolute discounting:
     p(w)     = (c(w) - D1) / N, and D1 * V / N for all unknown words as one symbol
     p(w | u) = (c(u, w) - D2) / c(u) [kept bigrams] + rest(u) * p(w)
 
-where D1 is the share of types seen once, rest(u) is what kept bigrams leave, and bigrams
-seen ``min_count`` times are kept.
+where D1 is the share of types seen once, and bigrams seen ``min_count`` times are kept: all,
+unless told otherwise. Discounted shares are quantised downwards to 8 bits and rest(u) is what
+the quantised ones leave, in 16 bits; so over all words and the unknown symbol the
+probabilities after any context sum to 1, but for the 16th bit of the rest. After an unknown
+word p(w) counts alone.
 
 Level 1: shards of sorted 64-bit word hashes; a word's id is its rank, so ids are monotone
 over the shards. Counts are differences of a monotone list of running sums. Level 2:
 shards of contexts, each with sorted context ids, monotone pointers to its run of
 successors, and successors made monotone by adding their context's place; a successor is
-searched relative to its context. Smoothed probabilities and rests are quantised to 8 bits.
+searched relative to its context.
 
 Counting adds up within a task first and ships sorted, difference-coded, compressed blobs,
 one per task and shard, so common words and pairs weigh no more than rare ones. A context
 of more than a shard's share of tokens is spread over several shards by its successors.
 Shards are written to the shared folder by rename, so a repeated task does no harm, and
-mapped by every worker. Only sums per shard and the (at most two per shard) spread contexts
-reach the driver.
+mapped by every worker; which were written is recorded, so one that cannot be read is an
+error and not an empty one. Only sums per shard and the spread contexts, of which there are
+fewer than shards, reach the driver.
 
 Defined results: a null or empty text is one end; repeated rows count and score each by
-itself; a null doc_id is held out nowhere; with no training document N = V = 0; other columns
-pass through.
+itself; a null doc_id is held out nowhere; with no training document N = V = 0; an empty table
+gives no rows; other columns pass through, but those named n_tokens, n_known, base_score or
+score are replaced.
 """
 
 from __future__ import annotations
@@ -41,14 +46,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe_rank import row_ranges
-from .common import new_path
+from .common import fresh, new_path, own_columns, release_memory
 from .elias_fano import EliasFano, pack, unpack
 
 END = b""
 MEMO = 600_000
 FLUSH = 2_000_000
 MAX_SHARDS = 1 << 14
-LEAST_LOG = -9.0
 _U = np.uint64
 
 
@@ -87,12 +91,15 @@ def read_file(uri: str):
         return f.read_buffer()
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    """Probabilities as 8 bits on a logarithmic scale."""
-    return np.clip(np.rint(255 * (1 - np.log10(np.maximum(p, 1e-30)) / LEAST_LOG)), 0, 255).astype(np.uint8)
+def quantise(p: np.ndarray, least: float, bits: int = 8) -> np.ndarray:
+    """Probabilities from 10**least to 1 on a logarithmic scale, rounded downwards."""
+    top = (1 << bits) - 1
+    return np.clip(np.floor(top * (1 - np.log10(p) / least) + 1e-9), 0, top).astype(np.uint8 if bits == 8 else np.uint16)
 
 
-LEVELS = 10 ** (LEAST_LOG * (1 - np.arange(256) / 255))
+def levels(least: float, bits: int = 8) -> np.ndarray:
+    """What the quantised values stand for."""
+    return 10 ** (least * (1 - np.arange(1 << bits) / ((1 << bits) - 1)))
 
 
 def coded(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -169,6 +176,8 @@ class Trie:
     first_id: list[int] = field(default_factory=list)  # of each level-1 shard, and V at the end
     n_tokens: int = 0
     n_once: int = 0
+    least: float = -9.0  # log10 of the least probability that is quantised
+    written: frozenset[int] = frozenset()  # the level-2 shards that there are
     hot: dict[int, int] = field(default_factory=dict)  # spread contexts: over how many shards
     hot_rest: dict[int, float] = field(default_factory=dict)
 
@@ -249,7 +258,7 @@ def contexts(ids: np.ndarray, n: np.ndarray, end: int) -> np.ndarray:
     return u
 
 
-def build(docs: DataFrame, min_count: int = 2, discount: float = 0.75) -> Trie:
+def build(docs: DataFrame, min_count: int = 1, discount: float = 0.75) -> Trie:
     """Count all of ``docs`` (doc_id, text) and write the trie's levels to the shared folder."""
     import pyarrow as pa
 
@@ -300,19 +309,29 @@ def build(docs: DataFrame, min_count: int = 2, discount: float = 0.75) -> Trie:
         for s, keys, counts in sum_blobs(batches):
             sums = np.concatenate([[0], np.cumsum(counts)])
             write_file(trie.level1(s), pack([*EliasFano.build(keys, 1 << 64).arrays(), *EliasFano.build(sums, int(sums[-1]) + 1).arrays()]))
-            top = np.argsort(-counts, kind="stable")[:64]
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)]), pa.array([int(sums[-1])]), pa.array([int((counts == 1).sum())]), pa.array([top.tolist()], pa.list_(pa.int64())), pa.array([counts[top].tolist()], pa.list_(pa.int64()))], names=["shard", "types", "tokens", "once", "top", "top_counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)]), pa.array([int(sums[-1])]), pa.array([int((counts == 1).sum())]), pa.array([int(counts.max())])], names=["shard", "types", "tokens", "once", "most"])
+
+    def find_hot(batches):
+        """Ids and counts of the words of more than a shard's share of tokens."""
+        words = Words(trie)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                n = trie.first_id[s + 1] - trie.first_id[s]
+                for a in range(0, n, 1 << 20):
+                    sums = words.shard(s)[1].get(np.arange(a, min(n, a + (1 << 20)) + 1)).astype(np.int64)
+                    counts = np.diff(sums)
+                    at = np.flatnonzero(counts > trie.n_tokens // trie.shards)
+                    yield pa.RecordBatch.from_arrays([pa.array(at + a + trie.first_id[s]), pa.array(counts[at])], names=["u", "n"])
 
     by_shard = lambda d: d.repartition(shards, "shard").sortWithinPartitions("shard")
     blobs = "shard int, blob binary"
-    sums = {r["shard"]: r for r in by_shard(src.mapInArrow(count_words, blobs)).mapInArrow(write_words, "shard int, types long, tokens long, once long, top array<long>, top_counts array<long>").collect()}
+    sums = {r["shard"]: r for r in by_shard(src.mapInArrow(count_words, blobs)).mapInArrow(write_words, "shard int, types long, tokens long, once long, most long").collect()}
     trie.first_id = np.concatenate([[0], np.cumsum([sums[s]["types"] if s in sums else 0 for s in range(shards)])]).tolist()
     trie.n_tokens = sum(r["tokens"] for r in sums.values())
     trie.n_once = sum(r["once"] for r in sums.values())
-    for s, r in sums.items():
-        for i, c in zip(r["top"], r["top_counts"], strict=True):
-            if (spread := -(-c * shards // trie.n_tokens)) > 1:
-                trie.hot[trie.first_id[s] + i] = int(min(spread, shards))
+    trie.least = float(np.log10((min_count - discount) / max((r["most"] for r in sums.values()), default=1))) - 0.1
+    for r in spark.range(0, shards, 1, min(shards, 64)).mapInArrow(find_hot, "u long, n long").collect():
+        trie.hot[r["u"]] = int(min(-(-r["n"] * shards // trie.n_tokens), shards))
 
     def count_pairs(batches):
         words = Words(trie)
@@ -350,17 +369,19 @@ def build(docs: DataFrame, min_count: int = 2, discount: float = 0.75) -> Trie:
                 i = own[at] - first[k]
                 seen[at] = (totals.get(i + 1) - totals.get(i)).astype(np.int64)
             place = np.repeat(np.arange(len(own)), np.diff([*start, len(u)]))
-            mass = np.add.reduceat(counts - discount, start) if len(u) else np.empty(0)
-            rest = 1 - mass / np.maximum(seen, 1)
+            share = quantise((counts - discount) / seen[place], trie.least)
+            mass = np.add.reduceat(levels(trie.least)[share], start) if len(u) else np.empty(0)
+            rest = quantise(np.maximum(1 - mass, 10**trie.least), trie.least, 16)
             pointers = np.concatenate([start, [len(u)]])
             successors = place.astype(np.uint64) * _U(v) + w.astype(np.uint64)
             lists = [(own, v), (pointers, len(u) + 1), (successors, max(1, len(own)) * v)]
             arrays = [a for values, universe in lists for a in EliasFano.build(values, universe).arrays()]
-            write_file(trie.level2(s), pack([*arrays, quantise((counts - discount) / np.maximum(seen[place], 1)), quantise(rest)]))
+            write_file(trie.level2(s), pack([*arrays, share, rest]))
             hot = [k for k, i in enumerate(own.tolist()) if i in trie.hot]
-            yield pa.RecordBatch.from_arrays([pa.array([s] * (len(hot) + 1), pa.int32()), pa.array([None, *(int(own[k]) for k in hot)], pa.int64()), pa.array([0.0, *(float(mass[k] / seen[k]) for k in hot)])], names=["shard", "u", "mass"])
+            yield pa.RecordBatch.from_arrays([pa.array([s] * (len(hot) + 1), pa.int32()), pa.array([None, *(int(own[k]) for k in hot)], pa.int64()), pa.array([0.0, *(float(mass[k]) for k in hot)])], names=["shard", "u", "mass"])
 
     found = by_shard(src.mapInArrow(count_pairs, blobs)).mapInArrow(write_pairs, "shard int, u long, mass double").collect()
+    trie.written = frozenset(r["shard"] for r in found)
     trie.hot_rest = dict.fromkeys(trie.hot, 1.0)
     for r in found:
         if r["u"] is not None:
@@ -376,19 +397,19 @@ class Scorer:
         v = max(trie.types, 1)
         self.d1 = min(0.9, trie.n_once / v) if trie.n_once else 0.5
         self.unknown = self.d1 * trie.types / max(trie.n_tokens, 1) or 1.0
+        self.shares, self.rests = levels(trie.least), levels(trie.least, 16)
 
     def pairs(self, s: int):
         if s not in self.files:
-            try:
-                a = unpack(read_file(self.trie.level2(s)))
-            except FileNotFoundError:  # no pair fell into this shard
+            if s not in self.trie.written:  # no pair fell into this shard
                 self.files[s] = None
                 return None
+            a = unpack(read_file(self.trie.level2(s)))
             self.files[s] = [EliasFano.of(a[k : k + 4]) for k in (0, 4, 8)] + a[12:]
         return self.files[s]
 
     def discounted(self, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted relative counts (0: not kept) and rests of distinct pairs of known ids."""
+        """Discounted shares (0: no kept pair) and rests of distinct pairs; ``w`` is V for the unknown symbol."""
         q, rest = np.zeros(len(u)), np.ones(len(u))
         shard = self.trie.pair_shard(u, w)
         order = np.lexsort((w, u, shard))
@@ -398,10 +419,10 @@ class Scorer:
             own, pointers, successors, prob, left = level
             i = own.search(u[part].astype(np.uint64))
             part, i = part[i >= 0], i[i >= 0]
-            rest[part] = LEVELS[left[i]]
+            rest[part] = self.rests[left[i]]
             j = successors.search(i.astype(np.uint64) * _U(self.trie.types) + w[part].astype(np.uint64))
             inside = (j >= pointers.get(i).astype(np.int64)) & (j < pointers.get(i + 1).astype(np.int64))
-            q[part[inside]] = LEVELS[prob[j[inside]]]
+            q[part[inside]] = self.shares[prob[j[inside]]]
         if self.trie.hot_rest:
             ids = np.array(sorted(self.trie.hot_rest), np.int64)
             at = np.minimum(np.searchsorted(ids, u), len(ids) - 1)
@@ -417,10 +438,11 @@ class Scorer:
         known = counts > 0
         p = np.where(known, (counts - self.d1) / max(t.n_tokens, 1), self.unknown)
         u = contexts(ids, n, ids[-1])
-        at = np.flatnonzero((u >= 0) & known)
-        key = u[at].astype(np.uint64) * _U(max(t.types, 1)) + ids[at].astype(np.uint64)
+        at = np.flatnonzero(u >= 0)
+        symbols = _U(t.types + 1)
+        key = u[at].astype(np.uint64) * symbols + np.where(known[at], ids[at], t.types).astype(np.uint64)
         distinct, back = np.unique(key, return_inverse=True)
-        q, rest = self.discounted((distinct // _U(max(t.types, 1))).astype(np.int64), (distinct % _U(max(t.types, 1))).astype(np.int64))
+        q, rest = self.discounted((distinct // symbols).astype(np.int64), (distinct % symbols).astype(np.int64))
         p[at] = q[back] + rest[back] * p[at]
         return n, np.add.reduceat(known.astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts)
 
@@ -430,14 +452,18 @@ def score(docs: DataFrame, trie: Trie, text: str = "text") -> DataFrame:
     import pyarrow as pa
 
     added_names = ["n_tokens", "n_known", "base_score", "score"]
-    own = [c for c in docs.columns if c not in added_names]
-    d = docs.select(*(docs[c] for c in own), F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias("_bytes"))
+    own = own_columns(docs, added_names)
+    d = docs.select(*(docs[c] for c in own), F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias(fresh(own, "_bytes")))
     schema = T.StructType([*d.schema.fields[:-1], *(T.StructField(c, T.LongType() if c[0] == "n" else T.DoubleType()) for c in added_names)])
 
     def run(batches):
         scorer = Scorer(trie)
-        for batch in batches:
-            for a, b, texts in chunks(batch, len(own)):
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *map(pa.array, scorer.scores(texts))], names=schema.names)
+        try:
+            for batch in batches:
+                for a, b, texts in chunks(batch, len(own)):
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), *map(pa.array, scorer.scores(texts))], names=schema.names)
+        finally:
+            del scorer
+            release_memory()
 
     return d.mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import zlib
 
 import numpy as np
@@ -200,7 +201,7 @@ def test_shards(spark, odd, empty):
 def test_language_model(spark, odd, empty):
     rows = [(k, prose(k, 80)) for k in range(30)] + [(90, None), (91, ""), (92, "Unseen wörds only")]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("own"))
-    trie = lm_trie.build(d.where("doc_id < 80"))
+    trie = lm_trie.build(d.where("doc_id < 80"), min_count=2)
     c, pairs = collections.Counter(), collections.Counter()
     words = {k: [*(t or "").lower().split(), ""] for k, t in rows}
     for k in range(30):
@@ -218,15 +219,36 @@ def test_language_model(spark, odd, empty):
         want = 0.0
         for u, x in zip(["", *w[:-1]], w):
             p = (c[x] - d1) / n if c[x] else d1 * v / n
-            if c[x] and c[u]:
+            if c[u]:
                 k = pairs[u, x]
                 p = (k - 0.75 if k > 1 else 0) / c[u] + (1 - mass[u] / c[u]) * p
             want += math.log10(p)
-        assert abs(r["score"] - want) < 0.03 * len(w)
+        assert abs(r["score"] - want) < 0.04 * len(w)
     assert lm_trie.score(odd, trie).count() == len(ODD) and lm_trie.score(empty, trie).count() == 0
     assert lm_trie.score(odd, lm_trie.build(empty)).count() == len(ODD)
 
 
+@pytest.mark.parametrize("min_count", [1, 2])
+def test_language_model_sums_to_one(spark, min_count):
+    rows = [(k, " ".join([prose(k, 30)] + ["the"] * 40 + [f"only{k}"])) for k in range(30)]
+    trie = lm_trie.build(spark.createDataFrame(rows, "doc_id long, text string"), min_count=min_count)
+    scorer, v = lm_trie.Scorer(trie), trie.types
+    assert trie.hot and trie.written  # "the" is spread over shards
+    ids, counts = np.arange(v), np.zeros(v)
+    for s in range(trie.shards):
+        if trie.first_id[s] < trie.first_id[s + 1]:
+            counts[trie.first_id[s] : trie.first_id[s + 1]] = np.diff(scorer.words.shard(s)[1].get(np.arange(trie.first_id[s + 1] - trie.first_id[s] + 1)).astype(np.int64))
+    p = np.append((counts - scorer.d1) / trie.n_tokens, scorer.unknown)
+    assert math.isclose(p.sum(), 1)
+    for u in range(v):
+        q, rest = scorer.discounted(np.full(v + 1, u), np.append(ids, v))
+        assert abs((q + rest * p).sum() - 1) < 1e-3
+    for s in trie.written:
+        os.remove(lm_trie._local(trie.level2(s)))
+    with pytest.raises(FileNotFoundError):
+        lm_trie.Scorer(trie).scores([b"the the"])
+
+
 def test_language_model_query_keeps_pairs_seen_once(spark, tmp_path):
     from snapstore.llm.queries import QUERIES
 
@@ -249,10 +271,10 @@ def test_language_model_query_keeps_pairs_seen_once(spark, tmp_path):
         w, want = words[r["doc_id"]], 0.0
         for u, x in zip(["", *w[:-1]], w):
             p = (c[x] - d1) / n if c[x] else d1 * v / n
-            if c[x] and c[u]:
+            if c[u]:
                 p = max(0, pairs[u, x] - 0.75) / c[u] + 0.75 * kinds[u] / c[u] * p
             want += math.log10(p)
-        assert r["held_out"] == held(r["doc_id"]) and abs(r["score"] - want) < 0.03 * len(w)
+        assert r["held_out"] == held(r["doc_id"]) and abs(r["score"] - want) < 0.04 * len(w)
 
 
 def test_pipeline_stages(spark, tmp_path):
