@@ -331,10 +331,13 @@ def human_sizes(spark, sf_dir):
     return d.select("n", pages.human_bytes("n").alias("human"))
 
 
-ASCII_SQL = "array_to_string(list_transform(range(16), lambda k: CASE WHEN ('0x' || substr(h, i * 32 + 2 * k + 1, 2))::INT BETWEEN 32 AND 126 THEN chr(('0x' || substr(h, i * 32 + 2 * k + 1, 2))::INT) ELSE '.' END), '')"
+#: For each byte what a dump shows of it, as an SQL string.
+SHOWN = "'" + "".join(chr(b) if 32 <= b <= 126 else "." for b in range(256)).replace("'", "''") + "'"
+DIGIT = "instr('123456789ABCDEF', hex[{}])"
+ASCII_SQL = " || ".join(f"substr({SHOWN}, {DIGIT.format(2 * k + 1)} * 16 + {DIGIT.format(2 * k + 2)} + 1, 1)" for k in range(16))
 
 
-@query(f"SELECT pa, i * 16 AS \"offset\", substr(h, i * 32 + 1, 32) hex, {ASCII_SQL} ascii FROM ({DOCPAGES_SQL}), (SELECT unnest(range(256)) i)")
+@query(f"SELECT *, {ASCII_SQL} ascii FROM (SELECT pa, unnest(range(0, 4096, 16)) \"offset\", unnest(regexp_extract_all(h, '[0-9A-F]{{32}}')) hex FROM ({DOCPAGES_SQL}))")
 def hex_dump(spark, sf_dir):
     d = pages.hex_rows(v_docpages(spark, sf_dir), "page")
     return d.select("pa", F.col("offset").cast("bigint").alias("offset"), "hex", "ascii")
@@ -381,7 +384,7 @@ def first_versions(spark, sf_dir):
 
 @query(f"SELECT snapshot_id, pa, row_number() OVER (PARTITION BY snapshot_id ORDER BY pa) - 1 AS place FROM ({VERSIONS_SQL})")
 def ordered_dirty_set(spark, sf_dir):
-    return long_snapshot(export_dirty_set(v_versions(spark, sf_dir).select("pa", "snapshot_id")))
+    return export_dirty_set(v_versions(spark, sf_dir).select("pa", "snapshot_id"))
 
 
 ATTEMPTS_SQL = "SELECT o_orderkey seq, (o_orderkey * 7919) % 600000 snapshot_id FROM orders"
