@@ -9,14 +9,15 @@ Only documents carry labels. The chain is first trained with each line under its
 label; then lines of bad documents that it takes for good become good (the worst line of a
 bad document stays bad), and it is trained again.
 
-The classifier is fitted on a bounded sample of labelled rows (``sample_rows``, none of
-more than ``sample_lines`` lines), whose features alone reach the driver. Scoring is one
-pass over whole texts without a shuffle; lines of many documents step through
-forward-backward together.
+The classifier is fitted on a bounded sample of labelled rows (``sample_rows``), whole
+documents whatever their length, whose features alone reach the driver. Scoring is one pass
+over whole texts without a shuffle; lines of many documents step through forward-backward
+together, long ones in segments.
 
 Defined results: a null or empty text has one empty line and is scored like one; repeated
 rows score alike; without labels of both kinds every score is the share of good labels (0
-if there are none); a null doc_id is never held out; other columns pass through.
+if there are none); a null doc_id is never held out; an empty table gives no rows; other
+columns pass through, but those named score or predicted are replaced.
 """
 
 from __future__ import annotations
@@ -32,11 +33,10 @@ from pyspark.sql import types as T
 
 from .boosting import Isotonic
 from .bpe_rank import row_ranges
-from .common import labelled_sample, remainder
+from .common import fresh, labelled_sample, own_columns, release_memory, remainder
 
 HELD_OUT_MOD, HELD_OUT = 4, 2
 SAMPLE_ROWS = 6_000
-SAMPLE_LINES = 5_000
 GOOD_FROM = 0.7
 SEGMENT = 128
 COMMON = {w.encode() for w in "the of and to a in is that for it was on as with be by der die und den von zu das mit sich des auf ist im nicht ein la le et les de en un du une que est pour qui dans el y los se del las por con su".split()}
@@ -109,33 +109,74 @@ class Chain:
 
 
 def forward_backward(unary: np.ndarray, change: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of ``good`` for every line, and the summed expected changes; sequences in step."""
-    order = np.argsort(-counts, kind="stable")
-    start = (np.cumsum(counts) - counts)[order]
-    n = counts[order]
-    steps = int(n[0]) if len(n) else 0
-    live = np.searchsorted(-n, -np.arange(steps), side="left")  # sequences of more than t lines
+    """Marginals of ``good`` for every line, and the summed expected changes.
+
+    Chains are cut into segments of at most SEGMENT lines that step together. A segment's
+    lines act on what comes in as one 2 x 2 matrix; the products of these carry the messages
+    over the cuts, so nothing is lost there and a long chain takes few steps.
+    """
+    if not len(counts):
+        return np.empty(0), np.zeros((2, 2))
+    many = -(-counts // SEGMENT)
+    chain_first = np.cumsum(many) - many
+    place = np.arange(many.sum()) - np.repeat(chain_first, many)  # of each segment in its chain
+    start = np.repeat(np.cumsum(counts) - counts, many) + place * SEGMENT
+    n = np.minimum(np.repeat(counts, many) - place * SEGMENT, SEGMENT)
+    order = np.argsort(-n, kind="stable")
+    start, n, initial = start[order], n[order], place[order] == 0
+    where = np.empty(len(order), np.int64)
+    where[order] = np.arange(len(order))
+    steps = int(n[0])
+    live = np.searchsorted(-n, -np.arange(steps), side="left")  # segments of more than t lines
     e = np.exp(change - change.max())
-    u = np.exp(np.stack([-np.clip(unary, -30, 30) / 2, np.clip(unary, -30, 30) / 2], axis=1))
-    forward = np.empty_like(u)
+    half = np.clip(unary, -30, 30) / 2
+    u = np.exp(np.stack([-half, half], axis=1))
+
+    # messages into and out of each segment
+    into, out = np.ones((len(n), 2)), np.ones((len(n), 2))
+    if many.max() > 1:
+        m = np.broadcast_to(np.eye(2), (len(n), 2, 2)).copy()
+        for t in range(steps):
+            k = live[t]
+            step = m[:k] @ e
+            if not t:
+                step[initial[:k]] = m[:k][initial[:k]]
+            step *= u[start[:k] + t][:, None, :]
+            m[:k] = step / step.sum(axis=(1, 2), keepdims=True)
+        for j in range(1, int(many.max())):
+            at = chain_first[many > j] + j
+            v = np.einsum("ki,kij->kj", into[where[at - 1]], m[where[at - 1]])
+            into[where[at]] = v / v.sum(axis=1, keepdims=True)
+        for j in range(int(many.max()) - 1, 0, -1):
+            at = chain_first[many > j] + j
+            v = np.einsum("kij,kj->ki", m[where[at]], out[where[at]])
+            out[where[at - 1]] = v / v.sum(axis=1, keepdims=True)
+
+    forward, before = np.empty_like(u), np.empty_like(u)  # before: what comes into each line
     for t in range(steps):
-        at = start[: live[t]] + t
-        a = u[at] * (forward[at - 1] @ e) if t else u[at]
+        k = live[t]
+        at = start[:k] + t
+        before[at] = forward[at - 1] if t else into
+        a = before[at] @ e
+        if not t:
+            a[initial[:k]] = 1.0
+        a *= u[at]
         forward[at] = a / a.sum(axis=1, keepdims=True)
     good, expected = np.empty(len(unary)), np.zeros((2, 2))
-    back = np.ones((len(n), 2))
     for t in range(steps - 1, -1, -1):
-        m = live[t]
-        at = start[:m] + t
-        b = back[:m]
+        k = live[t]
+        at = start[:k] + t
+        b = out[:k]
         p = forward[at] * b
         good[at] = p[:, 1] / p.sum(axis=1)
-        if t:
-            v = u[at] * b
-            pair = forward[at - 1][:, :, None] * e[None] * v[:, None, :]
-            expected += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            b = v @ e.T
-            back[:m] = b / b.sum(axis=1, keepdims=True)
+        v = u[at] * b
+        pair = before[at][:, :, None] * e[None] * v[:, None, :]
+        pair /= pair.sum(axis=(1, 2), keepdims=True)
+        if not t:
+            pair[initial[:k]] = 0
+        expected += pair.sum(axis=0)
+        b = v @ e.T
+        out[:k] = b / b.sum(axis=1, keepdims=True)
     return good, expected
 
 
@@ -168,20 +209,15 @@ def weighted_quality(good: np.ndarray, length: np.ndarray, counts: np.ndarray) -
     return np.log(q / (1 - q))
 
 
-def segments(counts: np.ndarray) -> np.ndarray:
-    """The same lines as sequences of at most SEGMENT lines, for training."""
-    return np.array([min(SEGMENT, n - k) for n in counts.tolist() for k in range(0, n, SEGMENT)], np.int64)
-
-
 def fit_twice(x: np.ndarray, y_doc: np.ndarray, counts: np.ndarray) -> Chain:
     y = np.repeat(y_doc, counts)
-    chain = fit_chain(x, y, segments(counts))
+    chain = fit_chain(x, y, counts)
     good = chain.marginals(x, counts)
     relabelled = np.where(y > 0, 1.0, good > 0.5)
     starts = np.cumsum(counts) - counts
     for s, n in zip(starts[y_doc == 0], counts[y_doc == 0], strict=True):
         relabelled[s + int(good[s : s + n].argmin())] = 0
-    return fit_chain(x, relabelled, segments(counts))
+    return fit_chain(x, relabelled, counts)
 
 
 @dataclass
@@ -197,7 +233,7 @@ class QualityModel:
         return self.calibration(weighted_quality(self.chain.marginals(x, counts), length, counts))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_lines: int = SAMPLE_LINES, folds: int = 2) -> QualityModel:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, folds: int = 2) -> QualityModel:
     """Fit on rows whose crc32(doc_id) mod 4 is not 2."""
     import pyarrow as pa
 
@@ -206,9 +242,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if text.count(b"\n") < sample_lines:
-                    x, length, _ = line_features([text])
-                    yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([y], pa.int32()), pa.array([x.astype("<f4").tobytes()]), pa.array([length.astype("<i8").tobytes()])], names=["doc_id", "y", "x", "length"])
+                x, length, _ = line_features([text])
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([y], pa.int32()), pa.array([x.astype("<f4").tobytes()]), pa.array([length.astype("<i8").tobytes()])], names=["doc_id", "y", "x", "length"])
 
     rows = sample.select("doc_id", F.col("text").cast("binary").alias("text"), "y").mapInArrow(extract, "doc_id long, y int, x binary, length binary").toPandas().sort_values("doc_id")
     y = rows["y"].to_numpy(float)
@@ -233,15 +268,18 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text") -> DataFrame
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
-    d = docs.select(*(docs[c] for c in own), F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias("_bytes"))
+    own = own_columns(docs, ("score", "predicted"))
+    d = docs.select(*(docs[c] for c in own), F.coalesce(docs[text].cast("string"), F.lit("")).cast("binary").alias(fresh(own, "_bytes")))
     schema = T.StructType([*d.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(len(own))
-            for a, b in row_ranges(pc.binary_length(texts).to_pylist()):
-                s = model.scores(texts.slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(s), pa.array((s >= GOOD_FROM).astype(np.int32))], names=schema.names)
+        try:
+            for batch in batches:
+                texts = batch.column(len(own))
+                for a, b in row_ranges(pc.binary_length(texts).to_pylist()):
+                    s = model.scores(texts.slice(a, b - a).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(s), pa.array((s >= GOOD_FROM).astype(np.int32))], names=schema.names)
+        finally:
+            release_memory()
 
     return d.mapInArrow(run, schema)
