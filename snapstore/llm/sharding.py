@@ -8,12 +8,16 @@ that is larger than a range is cut like any other keys.
    that swarms of tiny records count too).
 2. Quantiles of the sample become range boundaries; a range holds ``range_rows`` records on
    average. The sample is some 32 keys per range and all that the driver sees of the keys.
-3. Ranges that come out overfull (over twice their share) are sampled again and subdivided,
-   until none is left.
-4. Each range is sorted and summed by itself; with the totals of the ranges before, each
+3. Ranges that come out overfull (over twice their share) are sampled again, ever more
+   densely, and subdivided, until none is left; a range of one record is never overfull.
+4. Records are range-partitioned: each goes to the partition of its range's number. There
+   each range is sorted and summed by itself; with the totals of the ranges before, each
    record gets its place in the whole order, in bytes and in rows. The shard is the
    place of the record's middle byte, so shards differ by less than one record.
 
+Groups of equal texts lie together; one that a shard's end falls into is cut there, also if
+it is smaller than a shard, as sizes go before groups under this law.
+
 Defined results: a null text has size 1; a null doc_id is a key like any other; repeated
 rows are records of their own; further columns stay out; an empty table gives no rows.
 """
@@ -65,27 +69,29 @@ def _quantiles(sample: list[tuple[str, float]], parts: int) -> list[str]:
     return bounds
 
 
-def splitters(rows: DataFrame, parts: int, total_weight: float, rounds: int = 4) -> list[str]:
+def splitters(rows: DataFrame, parts: int, total_weight: float) -> list[str]:
     """Boundaries of some ``parts`` ranges of about equal weight, none over twice its share."""
-    share = total_weight / parts
+    share, density = total_weight / parts, PER_RANGE
     bounds = _quantiles(_sample(rows, F.col("weight") * (PER_RANGE / share)), parts)
-    for _ in range(rounds):
+    while True:
         sums = rows.groupBy(_search(F.col("key"), bounds).alias("r")).agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()
         over = {x["r"]: x["w"] for x in sums if x["w"] > 2 * share and x["n"] > 1}
         if not over:
-            break
+            return bounds
+        density *= 2  # in the end every key of an overfull range is drawn
         of = _search(F.col("key"), bounds)
-        inside = _sample(rows.where(of.isin(list(over))), F.col("weight") * (PER_RANGE / share))
+        inside = _sample(rows.where(of.isin(list(over))), F.col("weight") * (density / share))
         more: set[str] = set()
         for r, w in over.items():
             low = bounds[r - 1] if r else ""
             high = bounds[r] if r < len(bounds) else "~"
             keys = inside[bisect_left(inside, (low,)) : bisect_left(inside, (high,))]
-            more.update(_quantiles(keys, -int(-w // share)))
-        if not more - set(bounds):
-            break
+            found = set(_quantiles(keys, -int(-w // share))) - {low}
+            if not found and keys:  # one record outweighs the others: it gets a range of its own
+                top = max(range(len(keys)), key=lambda k: keys[k][1])
+                found = {k for k, _ in keys[max(1, top) : top + 2]}
+            more.update(found)
         bounds = sorted({*bounds, *more})
-    return bounds
 
 
 def shard(docs: DataFrame, n_shards: int = 16, range_rows: int = 20_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -104,6 +110,7 @@ def shard(docs: DataFrame, n_shards: int = 16, range_rows: int = 20_000, text: s
     for k in range(len(bounds) + 1):
         starts.append(b0 := b0 + sums.get(k, (0, 0))[0])
         counts.append(c0 := c0 + sums.get(k, (0, 0))[1])
+    ranged = ranged.repartitionById(len(bounds) + 1, F.col("r"))  # a partition a range
     inside = Window.partitionBy("r").orderBy("text_hash", "doc_id", "place")
     big = lambda v: F.lit(v).cast("array<bigint>")
     placed = (
