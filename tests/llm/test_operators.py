@@ -27,7 +27,7 @@ ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "one two"), (5, prose(5)), (6, pros
 def odd(spark):
     """Odd rows, with columns whose names the operators use themselves."""
     d = spark.createDataFrame(ODD, "doc_id long, text string")
-    for c in ("score", "kept", "n_lines", "_t", "tid", "ids", "part", "shard", "n_tokens"):
+    for c in ("score", "kept", "N_Lines", "_t", "tid", "ids", "part", "shard", "n_tokens", "_id", "_hash", "_bitmap", "_text_hash", "_n", "_text", "_bytes", "_row", "class_id"):
         d = d.withColumn(c, F.lit("own"))
     return d
 
@@ -170,6 +170,8 @@ def test_jaccard_classes(spark, odd, empty):
     odd_rows = [tuple(r) for r in jaccard_forest.classes(odd).collect()]
     assert len(odd_rows) == len(ODD) and (5, 5, 2) in odd_rows and (3, 1, 2) in odd_rows and (None, None, 0) in odd_rows
     assert jaccard_forest.classes(empty).count() == 0
+    kept = jaccard_forest.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 4, 5, 7, 8]
     assert sorted(r[0] for r in jaccard_forest.keep_one(d).select("doc_id").collect()) == sorted(k for k in sets if find(k) == k)
 
 
