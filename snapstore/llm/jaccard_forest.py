@@ -263,24 +263,37 @@ def best_partners(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("t").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
 
 
+def with_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """``rows`` (tree, label, ..) joined with ``runs`` (tree, label, size, ..; a row a run).
+
+    Runs of more than a partition's share of ``rows`` are fewer than partitions: they are
+    broadcast, and their rows stay where they are. All others are joined by run.
+    """
+    run, parts = ["tree", "label"], shuffle_parts(rows.sparkSession)
+    large = F.col("size") * parts > rows.count()
+    found = rows.join(F.broadcast(runs.where(large)), run)
+    small = rows.join(F.broadcast(runs.where(large).select(*run)), run, "left_anti").join(runs.where(~large), run)
+    return found.unionByName(small)
+
+
 def mixed_runs(members: DataFrame, of_class: DataFrame) -> DataFrame:
-    """(tree, label, tid, class, main) of runs that hold several classes; ``main``: the largest.
+    """(tree, label, tid, class, size, main) of runs that hold several classes; ``main``: the largest.
 
     Runs of two texts are left out: their pair is one with the least text.
     """
     run = ["tree", "label"]
-    d = in_class(members, of_class, "tid", "class")
+    d = materialise(in_class(members, of_class, "tid", "class"), "run-classes")
     sizes = d.groupBy(*run, "class").agg(F.count("*").alias("n"))
-    main = sizes.groupBy(*run).agg(F.max(F.struct("n", F.col("class").alias("main"))).alias("m"), F.count("*").alias("many"), F.sum("n").alias("all")).where("many > 1 AND all > 2").select(*run, "m.main")
-    return materialise(d.join(main, run), "mixed-runs")
+    main = sizes.groupBy(*run).agg(F.max(F.struct("n", F.col("class").alias("main"))).alias("m"), F.count("*").alias("many"), F.sum("n").alias("size")).where("many > 1 AND size > 2").select(*run, "size", "m.main")
+    return materialise(with_runs(d, materialise(main, "runs")), "mixed-runs")
 
 
 def hub_partners(mixed: DataFrame, links: DataFrame) -> DataFrame:
     """Each text outside its run's class of the member with most links so far, paired with the best such hub."""
     run = ["tree", "label"]
     degree = links.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("n"))
-    hubs = mixed.join(degree, "tid").groupBy(*run).agg(F.max(F.struct("n", F.col("tid").alias("hub"), F.col("class").alias("other"))).alias("h"))
-    met = mixed.join(hubs, run).where("class != h.other").groupBy("tid").agg(F.max("h").alias("h"))
+    hubs = mixed.join(degree, "tid").groupBy(*run).agg(F.max(F.struct("n", F.col("tid").alias("hub"), F.col("class").alias("other"))).alias("h"), F.max("size").alias("size"))
+    met = with_runs(mixed.drop("size"), materialise(hubs, "hubs")).where("class != h.other").groupBy("tid").agg(F.max("h").alias("h"))
     return met.select(F.least("tid", "h.hub").alias("a"), F.greatest("tid", "h.hub").alias("b")).distinct()
 
 
