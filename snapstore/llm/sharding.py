@@ -111,7 +111,8 @@ def shard(docs: DataFrame, n_shards: int = 16, range_rows: int = 20_000, text: s
         starts.append(b0 := b0 + sums.get(k, (0, 0))[0])
         counts.append(c0 := c0 + sums.get(k, (0, 0))[1])
     ranged = ranged.repartitionById(len(bounds) + 1, F.col("r"))  # a partition a range
-    inside = Window.partitionBy("r").orderBy("text_hash", "doc_id", "place")
+    signless = lambda c: (c < 0, c)  # noqa: E731  the order of the keys' hexadecimal digits
+    inside = Window.partitionBy("r").orderBy(*signless(F.col("text_hash")), *signless(F.coalesce("doc_id", F.lit(-1))), "place")
     big = lambda v: F.lit(v).cast("array<bigint>")
     placed = (
         ranged.withColumns({"before": F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "rank": F.row_number().over(inside) - 1})
