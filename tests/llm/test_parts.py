@@ -1,13 +1,14 @@
-"""Pieces without Spark, against plain versions."""
+"""Pieces of the operators, most without Spark, against plain versions."""
 
 import bisect
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
 
-from snapstore.llm import ann_partitions, best_fit, bpe_rank, jaccard_forest, line_crf
+from snapstore.llm import ann_partitions, best_fit, bpe_rank, jaccard_forest, line_crf, sharding, toxicity
 from snapstore.llm.boosting import BoostedTrees, Isotonic, sigmoid
 from snapstore.llm.elias_fano import EliasFano, pack, unpack
 
@@ -122,3 +123,90 @@ def test_forest_depth_and_balanced_parts():
     x = rng.normal(size=(800, 8)) + 3 * np.eye(8)[rng.integers(0, 8, 800)]
     part = ann_partitions.balanced_parts(x, ann_partitions.neighbour_graph(x, 8), 8, rng)
     assert np.bincount(part, minlength=8).max() <= 111
+
+
+def test_large_runs_are_joined_like_small_ones(spark):
+    rows = [(t, f"l{t}".encode(), k) for t, n in enumerate((300, 40, 3, 3)) for k in range(n)] + [(9, b"other", 1)]
+    runs = [(t, f"l{t}".encode(), n, 7 * t) for t, n in enumerate((300, 40, 3))] + [(5, b"none", 50, 0)]
+    d = spark.createDataFrame(rows, "tree int, label binary, tid long")
+    r = spark.createDataFrame(runs, "tree int, label binary, size long, main long")
+    got = sorted((x["tree"], x["tid"], x["size"], x["main"]) for x in jaccard_forest.with_runs(d, r).collect())
+    assert got == sorted((t, k, runs[t][2], 7 * t) for t, _, k in rows if t < 3)
+    assert jaccard_forest.with_runs(d.limit(0), r).count() == 0 and jaccard_forest.with_runs(d, r.limit(0)).count() == 0
+
+
+def plain_shards(rows, n_shards):
+    """Each record's shard from the whole order, one record at a time: the shard of its middle byte."""
+    total, at, out = sum(size for _, size in rows), 0, []
+    for _, size in rows:
+        out.append(min(n_shards - 1, (2 * at + size) * n_shards // (2 * total)))
+        at += size
+    return out
+
+
+def test_shards_equal_one_pass_over_the_order(spark):
+    rng = np.random.default_rng(8)
+    texts = ["same text"] * 120 + ["x" * int(n) for n in rng.integers(0, 400, 200)] + ["y" * 9000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in sharding.shard(d, range_rows=25).collect()}
+    keys = {r["doc_id"]: r["h"] for r in d.selectExpr("doc_id", "lpad(hex(xxhash64(cast(text as binary))), 16, '0') h").collect()}
+    order = sorted((keys[k], k, len(t) + 1) for k, t in enumerate(texts))
+    want = plain_shards([(k, size) for _, k, size in order], 16)
+    assert {k: s for (_, k, _), s in zip(order, want, strict=True)} == {k: r["shard"] for k, r in got.items()}
+    for s in range(16):
+        assert sorted(r["slot"] for r in got.values() if r["shard"] == s) == list(range(want.count(s)))
+
+
+def test_toxicity_features_equal_a_plain_recount():
+    lexicon = {b"idiot": 2.0, b"scum": 3.5, b"wret*": 2.5}
+    text = "You are an IDIOT, and scum! Truly 1d10t you said; the wretched river is calm today."
+    words = text.split()
+    hits = [k for k, w in enumerate(words) if re.sub("[^a-z]", "", w.lower()) in ("idiot", "scum", "wretched")]
+    masked = [words.index("1d10t")]
+    you = [k for k, w in enumerate(words) if w.lower() == "you"]
+    n, every = len(words), sorted(hits + masked)
+    want = {
+        "hits": len(every) / n,
+        "masked_hits": len(masked) / n,
+        "weight": (2.0 + 3.5 + 2.0 + 2.5) / n,
+        "any_hit": len(every),
+        "hits_near_you": sum(min(abs(k - y) for y in you) <= 5 for k in every) / n,
+        "you": len(you) / n,
+        "capitals": sum(c.isupper() for c in text) / len(text),
+        "caps_words": 1 / n,
+        "punctuation": sum(c in ".,;:\"'()-" for c in text) / len(text),
+        "bangs": text.count("!") / len(text),
+        "queries": 0.0,
+        "digits": sum(c.isdigit() for c in text) / len(text),
+        "log_words": np.log(n),
+    }
+    got = dict(zip(toxicity.FEATURES, toxicity.Extractor(lexicon).features([text.encode()])[0], strict=True))
+    assert {k: got[k] for k in want} == pytest.approx(want)
+    assert not toxicity.Extractor(lexicon).features([b"", b" \n"]).any()
+
+
+def test_line_features_and_document_score_equal_a_plain_recount():
+    texts = [b"The cat is here.\n\nTHE cat is here.\nThe cat is here.", b"", b"go go go 12|"]
+    x, length, counts = line_crf.line_features(texts)
+    lines = [t.split(b"\n") for t in texts]
+    flat = [line for doc in lines for line in doc]
+    assert counts.tolist() == [len(doc) for doc in lines] and length.tolist() == [len(line) for line in flat]
+    own = x[:, : line_crf.OWN]
+    for row, line in zip(own, flat, strict=True):
+        size = max(len(line), 1)
+        assert row[0] == pytest.approx(sum(97 <= c <= 122 for c in line) / size)
+        assert row[1] == pytest.approx(sum(65 <= c <= 90 for c in line) / size)
+        assert row[2] == pytest.approx(sum(48 <= c <= 57 for c in line) / size)
+        assert row[8] == pytest.approx(line.count(b" ") / size)
+    assert own[:, -1].tolist() == [0, 0, 0, 1, 0, 0]  # the fourth line repeats the first
+    before, after = x[:, line_crf.OWN : 2 * line_crf.OWN], x[:, 2 * line_crf.OWN : 3 * line_crf.OWN]
+    assert (before[1:4] == own[:3]).all() and (after[:3] == own[1:4]).all()
+    assert not before[[0, 4, 5]].any() and not after[[3, 4, 5]].any()  # documents don't touch
+    good = np.array([0.9, 0.5, 0.2, 0.7, 0.4, 0.3])
+    odds = line_crf.weighted_quality(good, length, counts)
+    k = 0
+    for doc, got in zip(lines, odds, strict=True):
+        w = [len(line) + 1 for line in doc]
+        q = sum(g * v for g, v in zip(good[k : k + len(doc)], w, strict=True)) / sum(w)
+        assert got == pytest.approx(np.log(q / (1 - q)))
+        k += len(doc)
