@@ -67,6 +67,44 @@ def test_bpe_equals_the_library():
     assert [np.frombuffer(i, "<u4").tolist() for i in best_fit.TokenIds(path)([t.encode() for t in TEXTS])] == [e.ids for e in library.encode_batch(TEXTS, add_special_tokens=False)]
 
 
+class CountingLibrary:
+    """A library that notes the texts it is given."""
+
+    def __init__(self, library):
+        self.library, self.given = library, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.library.encode_batch_fast(texts, **options)
+
+
+def test_token_ids_give_the_library_each_word_once():
+    pytest.importorskip("tokenizers")
+    ids = best_fit.TokenIds(bpe_rank.default_path())
+    ids.library = CountingLibrary(ids.library)
+    first = ids([b"Repeat repeat, REPEAT!! repeat.", b"repeat;"])
+    assert " ".join(ids.library.given).lower().count("repeat") == 1  # it got five
+    given = len(ids.library.given)
+    assert ids([b"repeat. repeat", b"repeat;"])[1] == first[1] and len(ids.library.given) == given
+
+
+def test_token_ids_equal_the_library_on_letters_and_punctuation():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = bpe_rank.default_path()
+    library = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(2)
+    letters = [c for c in map(chr, range(0x41, 0x260)) if c.isalpha()]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts = [c + m for c in letters for m in ("", "!", "'s", "\u030c.", "\u0301'")]
+    texts += [a + b for a in ("", "a", "J", "7", "\u20ac", "\u0130", "\x01", "it's") for b in (*marks, "<|endoftext|>", "!\x01", " \x01 ", "'")]
+    texts += [" ".join("".join(rng.choices(letters, k=rng.randrange(4)) + rng.choices(marks, k=rng.randrange(4)) + rng.choices("a1'\u00e9\u0308\x01<|", k=rng.randrange(2))) for _ in range(40)) for _ in range(300)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    ids = best_fit.TokenIds(path)
+    for _ in range(2):  # all new, all known
+        for text, got, w in zip(texts, ids([t.encode() for t in texts]), want, strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == w, text
+
+
 def test_elias_fano():
     rng = np.random.default_rng(1)
     for n, universe in [(0, 10), (1, 1), (5, 5), (1000, 1 << 64), (1000, 1200), (3000, 10**12), (50, 1 << 64)]:
