@@ -3,9 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from snapstore.sources import store
+from snapstore.operators.encode import resolve
+from snapstore.sources import files, store
 from snapstore.sources.store import Store
-
 from test_store import edited, frame, random_pages
 
 
@@ -56,3 +56,27 @@ def test_far_ranges_of_bases(spark, tmp_path):
     for n, some in ((2, at[:3]), (3, at)):  # a few ranges, and more than are told apart
         s.save(frame(spark, dict.fromkeys(some, edited(a, 5))), n)
         assert s.chunks().where((F.col("snapshot_id") == n) & (F.col("base_snapshot") == 1)).count() == len(some)
+
+
+def test_a_blob_is_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "PIECE", 32)
+    monkeypatch.setattr(files, "READ", 1 << 16)
+    s = Store.create(spark, str(tmp_path / "s"), threshold=4)
+    a = random_pages(300, 4) | {300: bytes(4096), 301: bytes(4096)}
+    b = {k: edited(v, 7) for k, v in a.items()}
+    s.save(frame(spark, a), 1)
+    s.save(frame(spark, b), 2)
+    folder = str(tmp_path / "files")
+    files.write_files(s.chunks(), folder, 1)
+    assert sorted(x.name for x in (tmp_path / "files" / "blobs").iterdir()) == ["worker_0.blob"]
+    dealt = [r["count"] for r in spark.read.parquet(f"{folder}/.records").groupBy("part").count().collect()]
+    assert sum(dealt) == 604 and len(dealt) > 8 and max(dealt) < 200
+    end = 0
+    for r in files.open_files(spark, folder)[1].where("kind <> 2").orderBy("seq").collect():  # one after the other, without gaps
+        assert r["offset"] == end
+        end += r["len"]
+    assert end == (tmp_path / "files" / "blobs" / "worker_0.blob").stat().st_size
+    c = files.load_files(spark, folder)
+    got = {(r["pa"], r["snapshot_id"]): bytes(r["page"]) for r in resolve(c, c).collect()}
+    assert got == {(k, n): v for n, p in ((1, a), (2, b)) for k, v in p.items()}
+    assert files._payloads(files.open_files(spark, folder)[1], folder, files.OWN).rdd.getNumPartitions() > 8
