@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from snapstore.functions import pages
 from snapstore.operators.encode import resolve
 from snapstore.sources import files, store
 from snapstore.sources.store import Store
@@ -80,3 +81,11 @@ def test_a_blob_is_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
     got = {(r["pa"], r["snapshot_id"]): bytes(r["page"]) for r in resolve(c, c).collect()}
     assert got == {(k, n): v for n, p in ((1, a), (2, b)) for k, v in p.items()}
     assert files._payloads(files.open_files(spark, folder)[1], folder, files.OWN).rdd.getNumPartitions() > 8
+
+
+def test_hex_rows_shows_every_byte(spark):
+    b = bytes(range(256)) + b"ab"
+    d = pages.hex_rows(spark.createDataFrame([(bytearray(b),), (bytearray(),), (None,)], "b binary"), "b")
+    assert "transform(" not in d._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(r) for r in d.orderBy("offset").collect()]
+    assert got == [(k, b[k : k + 16].hex().upper(), "".join(chr(c) if 32 <= c <= 126 else "." for c in b[k : k + 16])) for k in range(0, 258, 16)]
