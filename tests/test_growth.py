@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from snapstore.functions import pages
 from snapstore.operators.encode import resolve
+from snapstore.plans.queries import QUERIES
 from snapstore.sources import files, store
 from snapstore.sources.store import Store
 from test_store import edited, frame, random_pages
@@ -83,6 +84,11 @@ def test_a_blob_is_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
     assert files._payloads(files.open_files(spark, folder)[1], folder, files.OWN).rdd.getNumPartitions() > 8
 
 
+def test_load_range_as_of_folds_once(spark):
+    d = QUERIES["load_range_as_of"](spark, "/root/testdata/sf0.001")
+    assert d._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+
+
 def test_hex_rows_shows_every_byte(spark):
     b = bytes(range(256)) + b"ab"
     d = pages.hex_rows(spark.createDataFrame([(bytearray(b),), (bytearray(),), (None,)], "b binary"), "b")
