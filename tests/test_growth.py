@@ -1,9 +1,10 @@
 """What must not grow faster than the input: pages that move between tasks, and what one task reads or holds."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from snapstore.functions import pages
+from snapstore.functions import codec, pages
 from snapstore.operators.encode import resolve
 from snapstore.plans.queries import QUERIES
 from snapstore.sources import files, store
@@ -84,6 +85,22 @@ def test_a_blob_is_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
     assert files._payloads(files.open_files(spark, folder)[1], folder, files.OWN).rdd.getNumPartitions() > 8
 
 
+def test_codec_work_is_cut_in_slices(spark, monkeypatch):
+    most = []
+    monkeypatch.setattr(codec, "LIMIT", 8)
+    codec._in_slices("int")(lambda *arrays: most.append(max(map(len, arrays))) or arrays[0]).func(pa.array(range(50)), pa.array(range(50)))
+    assert len(most) == 7 and max(most) == 8
+
+
+def test_slices_agree_with_whole_batches(spark, tmp_path):
+    n = codec.LIMIT + 88
+    a = random_pages(n, 6)
+    d = spark.createDataFrame([(k, bytearray(v), bytearray(edited(v, k % 4096)) if k % 3 else None) for k, v in a.items()], "pa bigint, a binary, b binary").coalesce(1)
+    patch = codec.xor_patch("a", "b")
+    got = d.select("pa", codec.changed_words("a", "b").alias("n"), codec.apply_patch("a", codec.decode_patch(codec.encode_patch(patch))).alias("x")).collect()
+    assert {r["pa"]: (r["n"], r["x"] and bytes(r["x"])) for r in got} == {k: (1, edited(v, k % 4096)) if k % 3 else (None, None) for k, v in a.items()}
+
+
 def test_load_range_as_of_folds_once(spark):
     d = QUERIES["load_range_as_of"](spark, "/root/testdata/sf0.001")
     assert d._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
